@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import mixing, sharding
+from shoebox.llm import mixing, quality, secrets, sharding, warc
+from shoebox.llm.common import durable
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +17,29 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(_documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.figures(_documents(spark, sf_dir))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(_documents(spark, sf_dir))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    archives = durable(warc.write_archives(pages), "warc")
+    found = warc.read_archives(archives).where("gap_reason is null")
+    page = F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1).try_cast("bigint")
+    refers = F.regexp_extract("refers_to", r"^urn:page:(-?\d+)$", 1).try_cast("bigint")
+    return found.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_documents(spark, sf_dir), shards=8)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
