@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import mixing, quality, secrets, sharding, simhash, warc
+from shoebox.llm import fingerprints, mixing, pieces, quality, secrets, sharding, simhash, warc
 from shoebox.llm.common import durable
 
 
@@ -25,6 +25,14 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(_documents(spark, sf_dir))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_documents(spark, sf_dir))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(_documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.grouped(_documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,7 +52,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op8_simhash, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op5_pieces, op6_fingerprints, op8_simhash, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
