@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import fingerprints, mixing, pieces, quality, secrets, sharding, simhash, warc
+from shoebox.llm import fingerprints, mixing, pieces, quality, repeats, secrets, sharding, simhash, warc
 from shoebox.llm.common import durable
 
 
@@ -25,6 +25,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(_documents(spark, sf_dir))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_documents(spark, sf_dir))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op5_pieces, op6_fingerprints, op8_simhash, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_repeats, op5_pieces, op6_fingerprints, op8_simhash, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
