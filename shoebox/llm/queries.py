@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import fingerprints, mixing, pieces, quality, repeats, secrets, sharding, simhash, warc
+from shoebox.llm import ctw, fingerprints, mixing, pieces, quality, repeats, secrets, sharding, simhash, warc
 from shoebox.llm.common import durable
 
 
@@ -37,6 +37,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(_documents(spark, sf_dir))
 
 
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(_documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.grouped(_documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_repeats, op5_pieces, op6_fingerprints, op8_simhash, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_repeats, op5_pieces, op6_fingerprints, op7_ctw, op8_simhash, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
