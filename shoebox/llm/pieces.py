@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoebox.llm.common import bounded_batches, text_bytes
 
@@ -167,6 +168,37 @@ class Encoder:
 _ENCODERS: dict[bytes, Encoder] = {}
 
 
+def _encoder(content: bytes) -> Encoder:
+    """The encoder of this Python worker, which keeps its words from task to task."""
+    if content not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[content] = Encoder(Vocabulary(content))
+    return _ENCODERS[content]
+
+
+def _model(df: DataFrame, path: str) -> bytes:
+    """The model file, half a MB that goes along with the tasks: from the driver's disk, or by Spark where the path names a store."""
+    if "://" in path:
+        return bytes(df.sparkSession.read.format("binaryFile").load(path).select("content").first()[0])
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encode(self, texts: Iterable[bytes]) -> list[bytes]:
+        """Each text's ids as four bytes each; the empty text has none."""
+        cut = [UNIT.findall(" " + x.decode("utf-8", "surrogateescape")) if x else [] for x in texts]
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        fresh = {u for units in cut for u in units if u not in self.known}
+        got = dict(self.vocabulary.encode_units(fresh))
+        self.known.update((u, ids) for u, ids in got.items() if len(u) <= KNOWN_CHARS)
+        found = self.known if all(len(u) <= KNOWN_CHARS for u in fresh) else self.known | got
+        return [b"".join(map(found.__getitem__, units)) for units in cut]
+
+
+_ENCODERS: dict[bytes, Encoder] = {}
+
+
 def _encoder(content: bytes) -> Encoder:
     """The encoder of this Python worker, which keeps its words from task to task."""
     if content not in _ENCODERS:
@@ -183,10 +215,10 @@ def _model(df: DataFrame, path: str) -> bytes:
 def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, into: str = "pieces") -> DataFrame:
     """df with a column of piece ids; null and empty texts have none. A column of that name is replaced."""
     bounded_batches(df.sparkSession)
-    content, kept = _model(df, "file://" + model if model.startswith("/") else model), [c for c in df.columns if c != into]
+    content, kept = _model(df, model), [c for c in df.columns if c != into]
     at = kept.index(text_col)
     df = df.select(*[F.col(f"`{c}`") for c in kept])
-    schema = df.schema.add(into, "array<int>")
+    schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content)
@@ -202,10 +234,10 @@ def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, into: str
 def decode(df: DataFrame, pieces_col: str = "pieces", model: str = MODEL, into: str = "decoded") -> DataFrame:
     """df with the text that the ids spell; null ids give null, no ids the empty text. A column of that name is replaced."""
     bounded_batches(df.sparkSession)
-    content, kept = _model(df, "file://" + model if model.startswith("/") else model), [c for c in df.columns if c != into]
+    content, kept = _model(df, model), [c for c in df.columns if c != into]
     at = kept.index(pieces_col)
     df = df.select(*[F.col(f"`{c}`") for c in kept])
-    schema = df.schema.add(into, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(into, T.StringType())])
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _encoder(content).vocabulary
@@ -222,7 +254,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     Null texts count as empty; repeated rows each get a row; other columns are ignored.
     """
     bounded_batches(df.sparkSession)
-    content = _model(df, "file://" + model if model.startswith("/") else model)
+    content = _model(df, model)
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_byte_pieces", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
