@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +52,19 @@ def media_of_sidecar(path: Column) -> Column:
     return F.when(match != "", F.concat(F.regexp_extract(path, r"^(.*?)\.sidecars/", 1), F.regexp_extract(path, rf"\.sidecars/([^/]+)\{SIDECAR_SUFFIX}$", 1)))
 
 
-def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """(path, json) of the sidecars below a folder; the raw text keeps keys that aren't modelled."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{SIDECAR_SUFFIX}").text(root)
-    rows = files.select(media_of_sidecar(relative(F.col("_metadata.file_path"), root)).alias("path"), F.col("value").alias("json"))
+def read_sidecars(spark: SparkSession, root: str, depth: int = 8) -> DataFrame:
+    """(path, json) of the sidecars in folders up to depth below root; the raw text keeps keys that aren't modelled.
+
+    Sidecar folders are hidden ones, which Spark lists only where they are named.
+    """
+    levels = ",".join("*/" * k + SIDECAR_FOLDER for k in range(depth + 1))
+    try:
+        found = spark.read.option("wholetext", "true").text(f"{root.rstrip('/')}/{{{levels}}}/*{SIDECAR_SUFFIX}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, json string")
+    rows = found.select(media_of_sidecar(F.url_decode(F.regexp_replace(relative(F.col("_metadata.file_path"), root), r"\+", "%2B"))).alias("path"), F.col("value").alias("json"))
     return rows.filter("path is not null")
 
 
