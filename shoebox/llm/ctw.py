@@ -117,7 +117,7 @@ def _bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones at the 255 decisions of a byte, breadth first, from counts of bytes (rows of 256)."""
     zeros, ones = [], []
     for level in range(8):
-        halves = counts.reshape(len(counts), 1 << level, 2, -1).sum(axis=3)
+        halves = counts.reshape(len(counts), 1 << level, 2, 128 >> level).sum(axis=3)
         zeros.append(halves[:, :, 0])
         ones.append(halves[:, :, 1])
     return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
@@ -219,7 +219,7 @@ def _byte_lengths(ones: np.ndarray) -> np.ndarray:
     out = np.zeros((len(ones), 1))
     for level in range(8):
         p = ones[:, (1 << level) - 1 : (2 << level) - 1]
-        out = (out[:, :, None] + np.log10(np.stack([1 - p, p], axis=2))).reshape(len(ones), -1)
+        out = (out[:, :, None] + np.log10(np.stack([1 - p, p], axis=2))).reshape(len(ones), 2 << level)
     return out
 
 
