@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoebox.catalog import Catalog
 from shoebox.fixtures import table, with_tables
 from shoebox.functions import scalars as X
 from shoebox.operators import answers, duplicates, filtering, maintenance, places, tagging, tiers, views, vocabulary
@@ -409,7 +410,9 @@ _add(
 
 _PAIRS = "SELECT a.path AS a, b.path AS b, cast(bit_count(xor(a.{c}, b.{c})) AS int) AS distance FROM phashes a JOIN phashes b ON a.ord < b.ord WHERE bit_count(xor(a.{c}, b.{c})) <= {t}"
 _APART = " AND NOT EXISTS (SELECT 1 FROM phash_sets x JOIN phash_sets y ON x.tag = y.tag WHERE x.path = a.path AND y.path = b.path)"
-for _t in (0, 3, 8, 12):
+for _t in (0, 3):
+    _add(f"dup_edges_{_t}", lambda s, d, t=_t: duplicates.edges(table(s, d, "phashes"), None, t, "coarse", 16), _PAIRS.format(c="coarse", t=_t), "phashes")
+for _t in (8, 14):
     _add(f"dup_edges_{_t}", lambda s, d, t=_t: duplicates.edges(table(s, d, "phashes"), None, t, "phash", 60), _PAIRS.format(c="phash", t=_t), "phashes")
 _add("dup_edges_sets", lambda s, d: duplicates.edges(table(s, d, "phashes"), table(s, d, "phash_sets"), 1, "coarse", 16), _PAIRS.format(c="coarse", t=1) + _APART, "phashes", "phash_sets")
 _REACHED = (
@@ -539,6 +542,78 @@ _scalars("hamming", "phashes", ("bits", lambda: X.hamming(_c("phash"), _c("coars
 for _name, (_rows, _expression) in fixed.CASES.items():
     _add(_name, lambda s, d, r=_rows, e=_expression: fixed.evaluate(s, r, e), fixed.expected(_rows))
 
+# more of the sources and of bookkeeping
+
+_add(
+    "index_state_upsert",
+    lambda s, d: maintenance.last_wins(table(s, d, "media").filter("file_size % 3 <> 0").selectExpr("path", "mtime AS mtime_ns", "file_size AS size"), table(s, d, "media").filter("file_size % 2 = 0").selectExpr("path", "mtime + 5 AS mtime_ns", "file_size AS size")),
+    "SELECT path, CASE WHEN file_size % 2 = 0 THEN mtime + 5 ELSE mtime END AS mtime_ns, file_size AS size FROM media WHERE file_size % 3 <> 0 OR file_size % 2 = 0",
+    "media",
+)
+_TRASH = "SELECT cast(1700000000000 + p_partkey * 1000 AS string) || '_' || cast(p_partkey % 3 AS string) || '/dir/f' || cast(p_partkey AS string) || '.jpg' AS path, cast(p_partkey AS bigint) AS size"
+_trash = lambda s, d: files.trash_entries(s.read.parquet(f"{d}/part.parquet").selectExpr(*[x.strip() for x in (_TRASH.removeprefix("SELECT ").rsplit(", ", 1))]))
+_TRASHED = f"SELECT split_part(path, '/', 1) AS id, regexp_replace(path, '^[^/]*/', '') AS path, cast(split_part(path, '_', 1) AS bigint) AS ms, size FROM ({_TRASH} FROM part)"
+_add("trash_list", _trash, _TRASHED)
+_add("trash_purge", lambda s, d: maintenance.purge_expired(_trash(s, d), 1_700_000_200_000, 100), f"SELECT * FROM ({_TRASHED}) WHERE ms >= 1700000100000")
+_add(
+    "bucket_replace",
+    lambda s, d: answers.replaced_bucket(table(s, d, "tags"), table(s, d, "media").filter("file_size % 3 = 0").selectExpr("path AS item", "array('n' || (file_size % 7), 'm') AS tags", "CASE WHEN file_size % 2 = 0 THEN 'failed' END AS error"), _TAGGER),
+    "WITH a AS (SELECT path, file_size FROM media WHERE file_size % 6 = 3) SELECT * FROM tags WHERE namespace <> 'plugin.flags' OR path NOT IN (SELECT path FROM a) "
+    "UNION ALL SELECT path, 'plugin.flags', 'n' || (file_size % 7), cast(NULL AS int) FROM a UNION ALL SELECT path, 'plugin.flags', 'm', cast(NULL AS int) FROM a",
+    "tags", "media",
+)
+_PROBER = """SELECT path, '{"streams":[{"width":' || coalesce(width, 0) || ',"height":' || coalesce(height, 0) || ',"rotation":' || (file_size % 4) * 90 || '}],"format":{"duration":"' || CASE WHEN file_size % 5 = 0 THEN 'N/A' ELSE cast(file_size % 100 AS string) || '.5' END || '","tags":{"creation_time":"2024-01-02T03:04:05.000000Z","location":"+48.5-002.25/"}}}' AS json FROM {media}"""
+
+
+def _prober(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "media").filter("media_type = 'video'").createOrReplaceTempView("shoebox_videos")
+    return files.container_facts(spark.sql(_PROBER.replace("{media}", "shoebox_videos")))
+
+
+_add(
+    "container_facts",
+    _prober,
+    "SELECT path, CASE WHEN file_size % 2 = 1 THEN coalesce(height, 0) ELSE coalesce(width, 0) END AS width, CASE WHEN file_size % 2 = 1 THEN coalesce(width, 0) ELSE coalesce(height, 0) END AS height, "
+    "CASE WHEN file_size % 5 <> 0 THEN (file_size % 100) + 0.5::double END AS duration, 1704164645::bigint AS taken, 48.5::double AS gps_lat, -2.25::double AS gps_lon FROM media WHERE media_type = 'video'",
+    "media",
+)
+_add(
+    "lost_requests",
+    lambda s, d: ingest.lost(table(s, d, "fs_events").selectExpr("seq AS id", "seq AS matched_at", "seq % 7 <> 0 AS answered"), 128),
+    "SELECT id, matched_at, answered FROM (SELECT seq AS id, seq AS matched_at, seq % 7 <> 0 AS answered, count(*) FILTER (seq % 7 <> 0) OVER (ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM fs_events) WHERE NOT answered AND later >= 128",
+    "fs_events",
+)
+_add(
+    "path_intersect",
+    lambda s, d: table(s, d, "media").select("path").join(table(s, d, "tiers").filter("tier = 'jm'").select("path"), "path", "left_semi"),
+    "SELECT path FROM media WHERE path IN (SELECT path FROM tiers WHERE tier = 'jm')",
+    "media", "tiers",
+)
+
+# the catalog's commands
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    return Catalog(table(spark, sf_dir, "media"), table(spark, sf_dir, "tags"), table(spark, sf_dir, "tiers"))
+
+
+_gifs = lambda s, d: table(s, d, "media").filter("media_type = 'gif'")
+_GIF = "path IN (SELECT path FROM media WHERE media_type = 'gif')"
+_add("catalog_add_tags", lambda s, d: _catalog(s, d).add_tags(_gifs(s, d), ["5-low", "new"]).tags, f"SELECT * FROM tags UNION ALL SELECT path, 'user', t, cast(NULL AS int) FROM (SELECT path, unnest(['5-low', 'new']) AS t FROM media WHERE media_type = 'gif') x WHERE NOT EXISTS (SELECT 1 FROM tags g WHERE g.path = x.path AND g.namespace = 'user' AND g.tag = x.t)", "tags", "media")
+_add("catalog_remove_tags", lambda s, d: _catalog(s, d).remove_tags(_gifs(s, d), ["5-low", "1-urgent"]).tags, f"SELECT * FROM tags WHERE NOT (namespace = 'user' AND tag IN ('5-low', '1-urgent') AND {_GIF})", "tags", "media")
+_add("catalog_delete_tag", lambda s, d: _catalog(s, d).delete_tag("strip-6", "set").tags, "SELECT * FROM tags WHERE NOT (namespace = 'set' AND tag = 'strip-6')", "tags")
+_add("catalog_rename_set", lambda s, d: _catalog(s, d).rename_tag("strip-6", "fresh", "set").tags, "SELECT path, namespace, CASE WHEN namespace = 'set' AND tag = 'strip-6' THEN 'fresh' ELSE tag END AS tag, position FROM tags", "tags")
+_add("catalog_merge_sets", lambda s, d: _catalog(s, d).merge_tags(["strip-6", "strip-7"], "strip-8", "set").tags, "SELECT path, namespace, CASE WHEN namespace = 'set' AND tag IN ('strip-6', 'strip-7') THEN 'strip-8' ELSE tag END AS tag, CASE WHEN namespace = 'set' AND tag IN ('strip-6', 'strip-7') THEN NULL ELSE position END AS position FROM tags", "tags")
+_add(
+    "catalog_order_set",
+    lambda s, d: _catalog(s, d).order_set("strip-6", table(s, d, "media").filter("file_size % 3 <> 0").selectExpr("path", "file_size * 1000 + mtime % 1000 AS ord")).tags.filter("namespace = 'set' AND tag = 'strip-6'"),
+    "WITH r AS (SELECT m.path, cast(row_number() OVER (ORDER BY file_size * 1000 + mtime % 1000) AS int) AS k FROM media m JOIN tags t ON t.path = m.path AND t.namespace = 'set' AND t.tag = 'strip-6' WHERE file_size % 3 <> 0) SELECT t.path, namespace, tag, k AS position FROM tags t LEFT JOIN r ON r.path = t.path WHERE namespace = 'set' AND tag = 'strip-6'",
+    "tags", "media",
+)
+_add("catalog_trash", lambda s, d: _catalog(s, d).trash_files(_gifs(s, d)).tiers, f"SELECT * FROM tiers WHERE NOT {_GIF}", "tiers", "media")
+_add("catalog_record_view", lambda s, d: _catalog(s, d).record_view(_gifs(s, d), NOW).media.select("path", "last_viewed"), f"SELECT path, CASE WHEN media_type = 'gif' THEN {NOW} ELSE last_viewed END AS last_viewed FROM media", "media")
+_add("catalog_regenerate", lambda s, d: _catalog(s, d).regenerate_thumbnail(_gifs(s, d)).tiers, f"SELECT * FROM tiers WHERE NOT {_GIF}", "tiers", "media")
+
 # ingest
 
 _KINDS = (
