@@ -63,5 +63,15 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_repeats, op5_pieces, op6_fingerprints, op7_ctw, op8_simhash, op9_warc, op10_sharding)}
 
 
+def _base32_sql() -> str:
+    """The base32 digits of the hex digits h, five of them to four."""
+    part = lambda k, shift: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {1 + 5 * k}, 5))::int >> {shift}) & 31) + 1, 1)"
+    return " || ".join(part(k, shift) for k in range(8) for shift in (15, 10, 5, 0))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT t, min(page_id) AS first FROM p GROUP BY t)
+SELECT page_id, cast(strlen(p.t) AS bigint) AS payload_bytes, {_base32_sql()} AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f ON f.t = p.t""",
+    }

@@ -217,7 +217,8 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     spark = df.sparkSession
     bounded_batches(spark)
     found = durable(_keyed(df, id_col, text_col).where(F.octet_length("text") >= LENGTH).mapInArrow(_found, "key bigint, tie bigint, first int, last int, h bigint, c bigint"), "repeat-anchors")
-    twice = found.groupBy("h").count().where("count > 1").select("h")
+    # a table of its own, so that a hot hash's rows can be split in the join
+    twice = durable(found.groupBy("h").count().where("count > 1").select("h"), "repeat-twice")
     seen = durable(found.join(twice, "h"), "repeat-seen")
     _tidy(spark)
     contexts = seen.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "tie", "first")).alias("one"))
