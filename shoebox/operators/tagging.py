@@ -116,3 +116,21 @@ def merge_defaults(members: DataFrame) -> DataFrame:
     """What a merge dialog proposes for a group: the keeper's value, else the first that isn't null; the earliest capture."""
     first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(~F.col("keeper"), F.col("ord")))).alias(c)
     return members.groupBy("group_id").agg(*[first(c) for c in ("rating", "color_label")], F.min("date_taken").alias("date_taken"))
+
+
+def merge_choices(members: DataFrame) -> DataFrame:
+    """What a merge dialog lets a user choose from: a group's different places, and its user tags (group_id, ord, lat, lon, tags) in the order first seen."""
+    place = F.when(F.col("lat").isNotNull(), F.concat_ws(" ", F.col("lat").cast("string"), F.col("lon").cast("string")))
+    rows = members.select("group_id", "ord", place.alias("place"), "tags")
+    places = rows.filter("place is not null").groupBy("group_id", "place").agg(F.min("ord").alias("at"))
+    tags = rows.select("group_id", "ord", F.posexplode("tags").alias("k", "tag")).groupBy("group_id", "tag").agg(F.min(F.struct("ord", "k")).alias("at"))
+    listed = lambda df, c, name: df.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", c))), lambda x: x[c]).alias(name))
+    none = F.array().cast("array<string>")
+    out = rows.select("group_id").distinct().join(listed(places, "place", "places"), "group_id", "left").join(listed(tags, "tag", "tags"), "group_id", "left")
+    return out.select("group_id", F.coalesce("places", none).alias("places"), F.coalesce("tags", none).alias("tags"))
+
+
+def one_entry_per_set(entries: Column) -> Column:
+    """The list with the first entry of each set, as a sidecar is written."""
+    names = F.transform(entries, set_name)
+    return F.filter(entries, lambda e, k: F.array_position(names, F.get(names, k)) == k + 1)

@@ -173,13 +173,13 @@ def markers(rows: DataFrame, field: str) -> DataFrame:
     if field in ("date", "dateadded", "lastviewed", "lastrated"):
         c = F.col(SORT_COLUMNS[field])
         dated = rows.filter(c.isNotNull() & (c != 0))
-        close = dated.withColumn("at", F.col("pos")).withColumn("pos", F.row_number().over(Window.orderBy("at")).cast("bigint") - 1)
+        close = numbered(dated.withColumnRenamed("pos", "at"), [F.col("at").asc()])
         label = F.date_format(day_of(c), "MMM yyyy")
         key = period_key(c, "month")
     elif field == "name":
         letter = F.upper(F.substring(F.substring_index("path", "/", -1), 1, 1))
         named = rows.filter(letter != "")
-        close = named.withColumn("at", F.col("pos")).withColumn("pos", F.row_number().over(Window.orderBy("at")).cast("bigint") - 1)
+        close = numbered(named.withColumnRenamed("pos", "at"), [F.col("at").asc()])
         label = key = letter
     elif field == "rating":
         close = rows.withColumn("at", F.col("pos"))

@@ -454,6 +454,25 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIRST = "first({c} ORDER BY CASE WHEN {c} IS NULL THEN 1 ELSE 0 END, CASE WHEN file_size % 7 = 0 THEN 0 ELSE 1 END, file_size * 100000 + mtime % 100000) AS {c}"
 _add("merge_defaults", _plan, "SELECT split_part(path, '/', 1) || '-' || (file_size % 50) AS group_id, " + ", ".join(_FIRST.format(c=c) for c in ("rating", "color_label")) + ", min(date_taken) AS date_taken FROM media GROUP BY 1", "media")
 
+_add(
+    "merge_choices",
+    lambda s, d: tagging.merge_choices(
+        table(s, d, "media").selectExpr("split_part(path, '/', 1) || '-' || (file_size % 50) AS group_id", "file_size * 100000 + mtime % 100000 AS ord", "CASE WHEN rating IS NOT NULL THEN file_size % 3 END AS lat", "file_size % 2 AS lon", "array(coalesce(color_label, 'plain'), media_type) AS tags")
+    ).select("group_id", F.array_join("places", ",").alias("places"), F.array_join("tags", ",").alias("tags")),
+    "WITH m AS (SELECT split_part(path, '/', 1) || '-' || (file_size % 50) AS group_id, file_size * 100000 + mtime % 100000 AS ord, CASE WHEN rating IS NOT NULL THEN (file_size % 3) || ' ' || (file_size % 2) END AS place, [coalesce(color_label, 'plain'), media_type] AS tags FROM media), "
+    "p AS (SELECT group_id, string_agg(place, ',' ORDER BY at0) AS places FROM (SELECT group_id, place, min(ord) AS at0 FROM m WHERE place IS NOT NULL GROUP BY ALL) GROUP BY group_id), "
+    "t AS (SELECT group_id, string_agg(tag, ',' ORDER BY at0) AS tags FROM (SELECT group_id, tag, min(ord * 2 + k) AS at0 FROM (SELECT group_id, ord, unnest(tags) AS tag, unnest([0, 1]) AS k FROM m) GROUP BY ALL) GROUP BY group_id) "
+    "SELECT t.group_id, coalesce(places, '') AS places, tags FROM t LEFT JOIN p ON p.group_id = t.group_id",
+    "media",
+)
+_TWICE = "list_concat(entries, ['second', 'third', 'strip-6'])"
+_add(
+    "one_entry_per_set",
+    _edited(lambda e: tagging.one_entry_per_set(F.concat(e, F.array(F.lit("second"), F.lit("third"), F.lit("strip-6"))))),
+    _edit_sql(f"list_filter({_TWICE}, lambda e, k: list_position(list_transform({_TWICE}, lambda y: {_NAME.format('y')}), {_NAME.format('e')}) = k)"),
+    "tags", "media",
+)
+
 # taggers' answers
 
 
