@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shoebox.catalog import Catalog
 from shoebox.fixtures import table, with_tables
 from shoebox.functions import scalars as X
-from shoebox.operators import answers, duplicates, filtering, maintenance, places, tagging, tiers, views, vocabulary
+from shoebox.operators import answers, duplicates, filtering, layout, maintenance, places, tagging, tiers, views, vocabulary
 from shoebox.plans import fixed
 from shoebox.plans.parser import parse
 from shoebox.sources import files
@@ -170,6 +170,15 @@ _add(
     "media", "tags",
 )
 
+
+
+def _justified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.view(table(spark, sf_dir, "media"), table(spark, sf_dir, "tags"), views.Request("type:image"))
+    return layout.rows(rows, views.headers(rows, "month"), 1200.0, 180.0)
+
+
+_add("justified_rows", _justified)  # each row depends on the one before it, which SQL doesn't express well
+
 # vocabulary
 
 _COUNTS = "SELECT namespace, tag, count(*) AS count FROM tags GROUP BY ALL"

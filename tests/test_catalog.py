@@ -1,4 +1,5 @@
 import json
+import math
 import sys
 
 import duckdb
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoebox import fixtures
-from shoebox.operators import answers, duplicates, filtering, maintenance, tagging, views, vocabulary
+from shoebox.operators import answers, duplicates, filtering, layout, maintenance, tagging, views, vocabulary
 from shoebox.plans import registry
 from shoebox.sources import files
 from shoebox.streaming import ingest
@@ -42,7 +43,18 @@ def test_against_duckdb(spark, duck, name):
 
 
 def test_every_query_has_a_twin():
-    assert registry.queries().keys() == registry.oracle_sql().keys()
+    assert registry.queries().keys() - registry.oracle_sql().keys() == {"justified_rows"}
+
+
+def test_justified_rows(spark):
+    assert list(layout.packed([2.0, 2.0, 2.0, 1.0], 400, 100, 0)) == [(2, 100.0), (2, 400 / 3)]
+    assert list(layout.packed([1.0], 400, 100, 0)) == [(1, 100 * math.sqrt(1.5))]
+    assert list(layout.packed([None, -1.0, 99.0], 300, 100, 0)) == [(3, 50.0)]
+    items = spark.createDataFrame([(k, 200, 100) for k in range(5)], "pos long, width int, height int")
+    heads = spark.createDataFrame([("a", 0, 3), ("b", 3, 2)], "label string, start_index long, count long")
+    found = [(r["first"], r["n"], r["height"], r["y"]) for r in layout.rows(items, heads, 400.0, 100.0, 0.0).orderBy("first").collect()]
+    assert found == [(0, 2, 100.0, 0.0), (2, 1, 100.0, 100.0), (3, 2, 100.0, 200.0)]
+    assert sum(r["n"] for r in registry.queries()["justified_rows"](spark, DIR).collect()) == 1500 * 7 // 10
 
 
 MEDIA = "path string, media_type string, file_size long, mtime long, date_taken long, date_added long, last_viewed long, last_rated long, rating int, color_label string, width int, height int, duration double, gps_lat double, gps_lon double, exif_read boolean"
