@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.functions.scalars import hamming
+from shoebox.operators.lineage import checkpointed
 
 BITS = 64
 
@@ -46,13 +47,13 @@ def components(links: DataFrame) -> DataFrame:
     rounds grow with the logarithm of the longest chain; each is cut by a checkpoint.
     """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = both.union(both.select("v", "u")).distinct().checkpoint()
+    both = checkpointed(both.union(both.select("v", "u")).distinct())
     labels = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label"))
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         step = labels.join(near, "u").select("u", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = step.select(F.col("u").alias("label"), F.col("label").alias("far"))
-        after = step.join(jump, "label", "left").select("u", F.least(F.col("label"), F.coalesce("far", F.col("label"))).alias("label"), "old").checkpoint()
+        after = checkpointed(step.join(jump, "label", "left").select("u", F.least(F.col("label"), F.coalesce("far", F.col("label"))).alias("label"), "old"))
         if not after.filter("label <> old").take(1):
             return after.select(F.col("u").alias("path"), F.col("label").alias("group_id"))
         labels = after.select("u", "label")

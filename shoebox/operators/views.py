@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.operators.filtering import apply
+from shoebox.operators.lineage import checkpointed
 from shoebox.plans.parser import parse
 
 #: Sort fields by wire name, those whose nulls come last, size groups (decimal), label of unknown dates.
@@ -60,7 +61,7 @@ def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame
     """
     if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ONE_PARTITION_BYTES:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
-    placed = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    placed = checkpointed(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("__at", 33)
     sizes = placed.groupBy(part.alias("__part")).count()
     before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
