@@ -33,7 +33,17 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/shoebox-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that durable() wrote, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

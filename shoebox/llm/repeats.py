@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm.anchors import LENGTH, _mixed, anchors
-from shoebox.llm.common import bounded_batches, durable, text_bytes, text_or_empty
+from shoebox.llm.common import bounded_batches, discard, durable, text_bytes, text_or_empty
 from shoebox.llm.suffixes import suffix_array
 
 #: Bits of the filter that tells tasks which contexts to send, 8 MB; a fuller filter sends some for nothing.
@@ -139,7 +139,9 @@ def _trimmed(contexts: DataFrame) -> DataFrame:
     back = ahead.repartitionByRange("h", "turned", "c").sortWithinPartitions("h", "turned", "c").select("h", "c", "n", "off", "content", "ahead", "turned")
     back = back.mapInArrow(_shared_ahead, "h bigint, c bigint, n bigint, off int, content binary, ahead int, turned binary, shared int")
     back = back.where(F.col("shared") + F.col("ahead") >= LENGTH)
-    return durable(back.select("h", "c", (F.col("off") - F.col("shared")).alias("shift"), "n", F.col("shared").alias("off"), F.expr("substring(content, off - shared + 1, shared + ahead)").alias("content")), "repeat-trimmed")
+    trimmed = durable(back.select("h", "c", (F.col("off") - F.col("shared")).alias("shift"), "n", F.col("shared").alias("off"), F.expr("substring(content, off - shared + 1, shared + ahead)").alias("content")), "repeat-trimmed")
+    discard(contexts, ahead)
+    return trimmed
 
 
 def repeated_parts(strings: list[tuple[bytes, int]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
@@ -220,6 +222,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     # a table of its own, so that a hot hash's rows can be split in the join
     twice = durable(found.groupBy("h").count().where("count > 1").select("h"), "repeat-twice")
     seen = durable(found.join(twice, "h"), "repeat-seen")
+    discard(found, twice)
     _tidy(spark)
     contexts = seen.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "tie", "first")).alias("one"))
     known = durable(contexts, "repeat-known")
@@ -234,6 +237,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     parts = distinct.select("h", "string", "content", "n").repartition(F.col("h")).sortWithinPartitions("h", "string").mapInArrow(_arrays, "h bigint, string bigint, from int, to int")
     inside = strings.select("h", "c", "shift", "string").join(parts, ["h", "string"])
     inside = durable(inside.select("h", "c", (F.col("shift") + F.col("from")).alias("from"), (F.col("shift") + F.col("to")).alias("to")), "repeat-inside")
+    discard(trimmed, wanted)
     as_whole = seen.join(whole, ["h", "c"]).select("key", "tie", F.col("first").alias("from"), (F.col("last") + LENGTH).alias("to"))
     as_part = seen.join(inside, ["h", "c"]).select("key", "tie", (F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to")).alias("to"))
     return as_whole.union(as_part)
