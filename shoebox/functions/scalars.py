@@ -228,14 +228,9 @@ def tier_budget(free: Column) -> Column:
 
 
 def rfc3339_seconds(text: Column) -> Column:
-    """Seconds since 1970 of a time with its offset; null if invalid."""
-    pattern = r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}):(\d{2}):(\d{2})(?:\.\d+)?(?:[Zz]|([+-])(\d{2}):(\d{2}))$"
-    at = lambda k: F.regexp_extract(text, pattern, k)
-    number = lambda k: at(k).try_cast("int")
-    day = F.try_to_date(at(1), "yyyy-MM-dd")
-    offset = F.coalesce((number(6) * 3600 + number(7) * 60) * F.when(at(5) == "-", -1).otherwise(1), F.lit(0))
-    ok = (number(2) < 24) & (number(3) < 60) & (number(4) <= 60)
-    return F.when(ok, F.unix_date(day).cast("bigint") * 86400 + number(2) * 3600 + number(3) * 60 + number(4) - offset)
+    """Seconds since 1970 of a time with its offset, which makes the session's time zone irrelevant; null if invalid."""
+    pattern = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+    return F.when(text.rlike(pattern), F.unix_seconds(F.upper(text).try_cast("timestamp")))
 
 
 def seconds_rfc3339(seconds: Column) -> Column:
