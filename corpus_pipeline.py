@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import mixing, pieces, quality, secrets, simhash
+from shoebox.llm import mixing, nearcopies, pieces, quality, secrets
 from shoebox.llm.common import durable
 
 
@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return nearcopies.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encode_pieces", encode_pieces),
 ]
 
-#: SQL can express neither fingerprints' links, the automaton, the cube method nor the Viterbi search.
+#: SQL can express neither the shingle sets' links, the automaton, the cube method nor the Viterbi search.
 ORACLE_SQL = None
 
 
