@@ -3,8 +3,9 @@
 Of a text's code points c the arrays P[i] = sum of (c[j] + 1) * base^j for j < i, modulo two
 primes, answer in constant time whether any two spans are equal, so the longest common
 extension of two places is found by binary search. A fingerprint is the length and the hash
-of the whole; the likeness of two is the part of the longer text that their common beginning
-and end make up.
+of the whole; the likeness of two is the part of the longer text that common stretches in the
+same order make up: the beginning, the end, and between them those found again after each
+difference by a run of GRAM code points.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1402024253)
 #: Rows in a range of ids, ranges at most, and ids drawn for each range.
 ROWS_PER_RANGE, MOST_RANGES, IDS_PER_RANGE = 256, 16384, 8
+#: Code points by which two texts are lined up again after a difference, and places looked at for that.
+GRAM, PLACES = 16, 64
 
 _POWERS = [np.ones(1, np.int64), np.ones(1, np.int64)]
 
@@ -37,6 +40,17 @@ def _powers(k: int, n: int) -> np.ndarray:
     return have
 
 
+_INVERSES = [np.ones(1, np.int64), np.ones(1, np.int64)]
+
+
+def _inverses(k: int, n: int) -> np.ndarray:
+    have, prime = _INVERSES[k], PRIMES[k]
+    while len(have) < n:
+        have = np.concatenate([have, have * pow(BASES[k], -len(have), prime) % prime])
+    _INVERSES[k] = have
+    return have
+
+
 class Prefixes:
     """The prefix arrays of a text given as code points; 16 bytes for each of them."""
 
@@ -81,14 +95,55 @@ class Prefixes:
     def fingerprint(self) -> str:
         return f"{self.n:x}-" + "".join(f"{int(s[-1]):08x}" for s in self.sums)
 
+    def grams(self, start: int, stop: int) -> np.ndarray:
+        """A number for each run of GRAM code points inside start to stop, equal for equal runs."""
+        n = max(0, stop - start - GRAM + 1)
+        out = np.zeros(n, np.int64)
+        for k, prime in enumerate(PRIMES):
+            sums = self.sums[k][start:]
+            moved = (sums[GRAM : GRAM + n] - sums[:n]) % prime * _inverses(k, start + n)[start : start + n] % prime
+            out = (out << 31) + moved
+        return out
+
     def likeness(self, other: Prefixes) -> float:
-        """Common beginning and, beside it, common end, as a part of the longer text; 1 for two empty texts."""
+        """Common stretches in order, the beginning and the end among them, as a part of the longer text; 1 for two empty texts."""
         longer = max(self.n, other.n)
         if not longer:
             return 1.0
         start = self.extension(0, other, 0)
         end = min(self.extension_back(self.n, other, other.n), min(self.n, other.n) - start)
-        return (start + end) / longer
+        return (start + end + self._between(other, start, self.n - end, other.n - end)) / longer
+
+    def _between(self, other: Prefixes, start: int, stop: int, other_stop: int) -> int:
+        """Code points in common stretches after start and before the two stops, lined up anew after each difference."""
+        if min(stop, other_stop) - start < GRAM:
+            return 0
+        mine, its = self.grams(start, stop), other.grams(start, other_stop)
+        order = np.argsort(its, kind="stable")
+        keys = its[order]
+        low = np.searchsorted(keys, mine)
+        places = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == mine)  # where a run of the other text starts
+        total, i, j, k = 0, 0, 0, 0
+        # order by run and then place: the first place of a run from j on is one search away
+        while True:
+            k = int(np.searchsorted(places, i))
+            best = None
+            while k < len(places):
+                for x in places[k : k + PLACES].tolist():
+                    if best is not None and x - i >= best[0]:
+                        break
+                    a, b = int(low[x]), int(np.searchsorted(keys, mine[x], "right"))
+                    a += int(np.searchsorted(order[a:b], j))
+                    if a < b and (best is None or x - i + int(order[a]) - j < best[0]):
+                        best = x - i + int(order[a]) - j, x, int(order[a])
+                if best is not None:
+                    break
+                k += PLACES
+            if best is None:
+                return total
+            _, x, y = best
+            long = min(self.extension(start + x, other, start + y), stop - start - x, other_stop - start - y)
+            total, i, j = total + long, x + long, y + long
 
 
 def points_of(data: bytes) -> np.ndarray:
