@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of documents in one Arrow batch; with whole texts in them a batch stays in the tens of MB.
-BATCH_ROWS = 512
+#: Bytes of rows in one Arrow batch; a longer text is a batch of its own.
+BATCH_BYTES = 1 << 20
 
 #: Words are runs of anything but these bytes, which is also what bytes.split() cuts at.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,9 +21,11 @@ SPACES = b" \t\n\r\x0b\x0c"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         found = tempfile.mkdtemp(prefix="shoebox-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -46,12 +49,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keeps Arrow batches of whole texts small, whatever the session asked for."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES, which suits slim rows as well as whole texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def unit_interval(*cols) -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import bounded_batches, discard, durable, span_hashes, text_bytes, text_or_empty, unit_interval, word_spans
+from shoebox.llm.common import discard, durable, span_hashes, text_bytes, text_or_empty, unit_interval, word_spans
 from shoebox.llm.graph import components
 
 WORDS = 5
@@ -67,7 +67,7 @@ def sets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[fresh], of[fresh]
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -178,19 +178,12 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
 
-def _sketch(hashes: np.ndarray) -> bytes:
+def sketch(hashes: np.ndarray) -> bytes:
     """The parity of the shingles at each place, in a power of two of bits, two for each shingle at least."""
     bits = max(64, 1 << (2 * len(hashes) - 1).bit_length())
     return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes, of = sets_of(list(text_bytes(batch.column(1))))
-        edge = np.searchsorted(of, np.arange(len(batch) + 1)).tolist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edge), pa.int32()), pa.array([_sketch(hashes[a:b]) for a, b in zip(edge, edge[1:])], pa.binary())], names=["node", "size", "sketch"])
-
-
 def _apart(s: bytes, t: bytes) -> int:
     """Shingles that the sets of two sketches differ in at least."""
     x, y = (np.frombuffer(v, np.uint64) for v in ((s, t) if len(s) <= len(t) else (t, s)))
@@ -233,15 +226,17 @@ def _verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFra
     return out
 
 
-def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) that join all similar texts, and the components (node, root) that they make."""
+def linked(rows: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(node, root): the components that similar texts among rows (id, node, text) make.
+
+    known: each node's size and sketch; candidates: pairs (a, b) that are verified first.
+    """
     index = _index(rows).repartition(F.col("key")).sortWithinPartitions("key", "node")
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows of numbers
     groups = durable(index.mapInArrow(_repeated, _INDEX + ", first bigint, first_size int, first_at int"), "near-groups")
-    bounded_batches(rows.sparkSession)
     can = (F.least("size", "first_size") * 5 >= F.greatest("size", "first_size") * 4) & (F.col("node") != F.col("first"))
-    tried = durable(groups.where(can).select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct(), "near-tried")
-    sketches = durable(rows.select("node", "text").mapInArrow(_sketches, "node bigint, size int, sketch binary").dropDuplicates(["node"]), "near-sketches")
+    tried = groups.where(can).select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
+    tried = durable(tried.union(candidates).distinct(), "near-tried")
+    sketches = known.select("node", "size", "sketch").dropDuplicates(["node"])
     found = _verified(rows, sketches, tried)
     parts = components(found)
     named = groups.select("key", "node", "size", "at").join(parts, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("part"))
@@ -251,22 +246,5 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     if rest.take(1):
         found = durable(found.union(_verified(rows, sketches, rest)), "near-all")
         parts = components(found)
-    discard(groups, tried, rest, sketches)
-    return found, parts
-
-
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each group: of those with the smallest id, the one whose text has the smallest hash.
-
-    Texts without words are alike; null texts count as empty.
-    """
-    bounded_batches(df.sparkSession)
-    rows = _rows(df, id_col, text_col)
-    _, parts = links(rows)
-    named = rows.select("id", "node").join(parts, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
-    one = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("one"))
-    keep = durable(one.select(F.col("one.id").alias("__id"), F.col("one.node").alias("__tie")), "near-kept")
-    rows = df.withColumn("__id", F.col(id_col).cast("bigint")).withColumn("__tie", F.xxhash64(text_or_empty(text_col)))
-    key = F.xxhash64(F.lit(5), "__id", "__tie")  # a null id joins too
-    out = rows.withColumn("__key", key).join(keep.select(key.alias("__key"), "__tie"), ["__key", "__tie"])
-    return out.dropDuplicates(["__key", "__tie"]).select(*df.columns)
+    discard(groups, tried, rest)
+    return parts

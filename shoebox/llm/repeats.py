@@ -24,8 +24,6 @@ from shoebox.llm.suffixes import suffix_array
 
 #: Bits of the filter that tells tasks which contexts to send, 8 MB; a fuller filter sends some for nothing.
 FILTER_BITS = 1 << 26
-#: Rows of numbers in an Arrow batch.
-SLIM_ROWS = 20_000
 
 _ANCHOR = pa.schema([("key", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("h", pa.int64()), ("c", pa.int64())])
 
@@ -227,7 +225,6 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     contexts = seen.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "tie", "first")).alias("one"))
     known = durable(contexts, "repeat-known")
     whole = known.where("n > 1").select("h", "c")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SLIM_ROWS))
     mixed = known.join(known.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "h")
     wanted = durable(mixed.select("one.key", "one.tie", "one.first", "h", "c", "n"), "repeat-wanted")
     trimmed = _trimmed(_contexts(df, wanted, id_col, text_col))

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoebox.llm import nearcopies
 from shoebox.llm.common import bounded_batches, durable, text_bytes, text_or_empty
 from shoebox.llm.graph import components
 
@@ -27,6 +28,8 @@ SHINGLE, SEED, MOST_BITS = 4, 42, 4
 LEAST_BYTES = 8 - MOST_BITS
 #: Fingerprints under a key beyond which it is dealt in blocks of this size.
 BLOCK = 512
+#: Keys of rows are broadcast up to so many, 16 bytes each; beyond that the rows are joined by shuffling.
+BROADCAST_ROWS = 200_000
 #: Under a key with more fingerprints than this, links form a forest instead of all pairs.
 FEW = 8
 
@@ -137,8 +140,6 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between the distinct fingerprints fp that join all that differ in at most MOST_BITS bits."""
-    spark = distinct.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows of two numbers
     index = distinct.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
     hot = durable(index.groupBy("key").count().where(F.col("count") > BLOCK), "simhash-hot")
     rows = index
@@ -174,11 +175,68 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.join(named, rows["fp"] == named["f"]).drop("f")
 
 
+def _of_sets(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Fingerprints of sets of shingles' hashes that lie one behind the other: a bit is 1 if it is set in over half of them."""
+    out = np.empty(len(edge) - 1, np.uint64)
+    for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+        ones = np.zeros(64, np.int64)
+        for at in range(a, b, 65536):
+            ones += np.unpackbits(hashes[at : min(b, at + 65536)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > b - a, bitorder="little").view("<u8")[0]
+    return out
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that join all rows (node, fp) whose fingerprints link, directly or through others."""
+    distinct = durable(rows.groupBy("fp").agg(F.min("node").alias("least")), "simhash-texts")
+    same = rows.join(distinct, "fp").where(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    x, y = (distinct.select(F.col("fp").alias(f), F.col("least").alias(n)) for f, n in (("a", "x"), ("b", "y")))
+    across = links(distinct.select("fp")).join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.union(across).distinct()
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each group: of those with the smallest id, the one whose text has the smallest hash."""
-    found = grouped(df, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("root").agg(F.min_by(F.struct("id", "tie"), "tie").alias("one")).select(F.xxhash64(F.lit(5), "one.id", "one.tie").alias("__key"), F.col("one.tie").alias("__tie"))
-    keep = durable(keep, "simhash-kept")
-    tie = F.xxhash64(text_or_empty(text_col))
-    rows = df.withColumn("__tie", tie).withColumn("__key", F.xxhash64(F.lit(5), F.col(id_col).cast("bigint"), "__tie"))
-    return rows.join(keep, ["__key", "__tie"]).dropDuplicates(["__key", "__tie"]).select(*df.columns)
+    """df with one row of each group of near copies: the one with the smallest id, of those the one whose text has the smallest hash.
+
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more, directly or through others. Texts whose fingerprints over the shingles meet in the
+    inverted index are verified first; of similar texts many differ in more bits than
+    MOST_BITS, so those not joined yet are looked for by nearcopies, which loses none.
+
+    Texts without words are alike, and null texts count as empty. A null id is the smallest of
+    its group only if all are null. Of rows that repeat id and text one stays. An empty table
+    gives none. Other columns, whatever their names, come along.
+    """
+    bounded_batches(df.sparkSession)
+    rows = nearcopies.keyed(df, id_col, text_col)
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary()), ("fp", pa.int64())])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, of = nearcopies.sets_of(list(text_bytes(batch.column(2))))
+            edge = np.searchsorted(of, np.arange(len(batch) + 1))
+            sketches = [nearcopies.sketch(hashes[a:b]) for a, b in zip(edge.tolist(), edge[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(edge), pa.int32()), pa.array(sketches, pa.binary()), pa.array(_of_sets(hashes, edge).view(np.int64))], schema=schema)
+
+    known = durable(rows.mapInArrow(made, "id bigint, node bigint, size int, sketch binary, fp bigint"), "simhash-sets")
+    parts = nearcopies.linked(rows, known, candidates(known.select("node", "fp").distinct()))
+    slim = known.select("id", "node")
+    named = slim.join(parts, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+    one = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("one"))
+    kept = one.select(F.col("one.id").alias("i"), F.col("one.node").alias("n"))
+    lost = durable(slim.distinct().join(kept, F.col("id").eqNullSafe(F.col("i")) & (F.col("node") == F.col("n")), "left_anti"), "simhash-lost")
+    again = durable(slim.groupBy("id", "node").count().where("count > 1").select("id", "node"), "simhash-again")
+    mark = F.struct(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(text_or_empty(f"`{text_col}`")).alias("node"))
+    held = df.select(mark.alias("m")).select("m.row", "m.id", "m.node")
+
+    def among(keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("id").alias("i"), F.col("node").alias("n"))
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        return held.join(keys, F.col("id").eqNullSafe(F.col("i")) & (F.col("node") == F.col("n")), how)
+
+    gone = lost.union(again)
+    out = among(gone, "left_anti").select("row")
+    if again.take(1):
+        first = again.join(lost, again["id"].eqNullSafe(lost["id"]) & (again["node"] == lost["node"]), "left_anti")
+        out = out.union(among(first, "left_semi").groupBy("id", "node").agg(F.first("row").alias("row")).select("row"))
+    return out.select("row.*")

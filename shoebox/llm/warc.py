@@ -179,7 +179,7 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
     payload is filled only on request; a revisit's payload_bytes is what its HTTP head tells.
     An empty archive or table gives no rows; null content counts as empty.
     """
-    bounded_batches(archives.sparkSession, 64)
+    bounded_batches(archives.sparkSession)
     name = "archive" if "archive" in archives.columns else "path"
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from shoebox.llm import nearcopies
+from shoebox.llm import nearcopies, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,9 +57,9 @@ def test_one_of_each_joins_what_brute_force_joins(spark, monkeypatch, often):
     monkeypatch.setattr(nearcopies, "OFTEN", often)
     rows = _made()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    one = nearcopies.one_of_each(df)
+    one = simhash.one_of_each(df)
     assert one.columns == df.columns and sorted(r["doc_id"] for r in one.collect()) == _kept(rows)
-    assert nearcopies.one_of_each(df.limit(0)).count() == 0
+    assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
 def test_sketches_never_tell_more_differences_than_there_are():
@@ -67,7 +67,7 @@ def test_sketches_never_tell_more_differences_than_there_are():
     for _ in range(200):
         x, y = ({draw.randrange(1 << 20) for _ in range(draw.randint(1, 300))} for _ in "xy")
         y |= set(draw.sample(sorted(x), draw.randint(0, len(x))))
-        a, b = (nearcopies._sketch(np.array(sorted(v), np.uint64)) for v in (x, y))
+        a, b = (nearcopies.sketch(np.array(sorted(v), np.uint64)) for v in (x, y))
         assert nearcopies._apart(a, b) == nearcopies._apart(b, a) <= len(x ^ y)
 
 
@@ -76,3 +76,12 @@ def test_stage_finds_copies_with_some_changed_words(spark):
     changed = [w if k not in (20, 70, 120) else "other" for k, w in enumerate(words)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[::-1]))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 3]
+
+
+def test_null_ids_repeated_rows_and_clashing_names(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, text, 1), (7, text, 2), (7, text, 2), (7, text + " more", 3), (None, "alone here", 4), (None, "alone here", 4), (3, None, 5), (4, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node int").withColumnRenamed("node", "id").selectExpr("doc_id", "text", "id", "id as node", "id as `row`", "id as fp")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in simhash.one_of_each(df).collect())
+    least = min((text, text + " more"), key=lambda t: spark.range(1).selectExpr(f"xxhash64('{t}') as h").first()["h"])
+    assert got == [(False, 3, ""), (False, 7, least), (True, 0, "alone here")]
