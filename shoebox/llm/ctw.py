@@ -1,12 +1,17 @@
 """Language-model scores by context-tree weighting over bytes.
 
 A byte is eight binary decisions, and a decision's context is the bits before it in its byte
-and the last 0, 1, 2 or 3 bytes. Each context has a Krichevsky-Trofimov estimate from the
+and the last 0 to DEPTH bytes. Each context has a Krichevsky-Trofimov estimate from the
 corpus; a context's weighted probability is half its own estimate's and half the product of
 its extensions', and the weights that this gives after the corpus mix the estimates of all
-depths when a text is scored. All of the corpus is counted. The most frequent contexts of
-three bytes, MOST_CONTEXTS of them, are leaves of their own; those of the others that end in
-the same two bytes share a leaf. So the model has a bounded size whatever the corpus.
+depths when a text is scored. A context that the corpus doesn't have passes its weight to the
+longest part of it that it has.
+
+All contexts of the corpus are kept, so the model grows with it. It is a table of runs of
+DEPTH + 1 bytes, dealt out by the last three bytes of their contexts: below these every
+subtree is worked out by itself, above them the at most 65,536 contexts of two bytes and
+their parents. Scores of frequent runs are broadcast, a bounded number of them; the other
+runs of a text meet theirs in a join.
 
 Beside it stands a Laplace-smoothed word model as a baseline. Frequent words' counts are
 broadcast, a bounded number of them; the other words meet their counts in a join.
@@ -23,35 +28,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import bounded_batches, durable, span_hashes, text_bytes, word_spans
+from shoebox.llm.common import bounded_batches, discard, durable, span_hashes, text_bytes, word_spans
 
 #: Documents whose crc32 of the id as text leaves this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
 #: Words whose counts are broadcast, of at most so many bytes each.
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
-#: A task sends its word counts on when it holds so many words, or so many bytes of them.
-HELD_WORDS, HELD_BYTES = 400_000, 32 << 20
-#: Contexts of three bytes that are leaves of their own.
-MOST_CONTEXTS = 65536
-#: Rows of the model that are worked out together.
-MODEL_BLOCK = 2048
+#: A task sends its word counts on when it holds so many words, or so many bytes of them, and its runs' counts at so many.
+HELD_WORDS, HELD_BYTES, HELD_RUNS = 400_000, 32 << 20, 1 << 21
+#: Bytes of context, 3 to 6.
+DEPTH = 6
+#: Bytes of context by which subtrees are dealt out, and runs that are worked out together.
+CUT, TOGETHER = 3, 1 << 16
+#: Runs whose scores are broadcast, and the slots (as powers of two) of the two tables that hold them.
+HEAD_RUNS, SLOTS = 1 << 20, (21, 20)
 #: Starts and ends texts; no byte of UTF-8.
 EDGE = 255
 #: Stands for the end among the words, which never are a line feed.
 END = b"\n"
-_COUNTS = pa.schema([("kind", pa.int32()), ("token", pa.binary()), ("n", pa.int64())])
-WORD_KIND, BYTES_KIND = 0, 1
+_HASH = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_LOG_HALF = math.log(0.5)
 
 
-def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte and end of the texts three bytes of context and itself as one number; starts and sizes by text."""
+def grams_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every byte and end of the texts the bytes of its context, the nearest first, and itself as one number; starts and sizes by text."""
     edge = bytes([EDGE])
-    line = np.frombuffer(b"".join(edge * 3 + t + edge for t in texts), np.uint8).astype(np.uint32)
-    codes = line[:-3] << np.uint32(24) | line[1:-2] << np.uint32(16) | line[2:-1] << np.uint32(8) | line[3:] if len(line) else line
+    line = np.frombuffer(b"".join(edge * depth + t + edge for t in texts), np.uint8)
+    codes = np.zeros(max(0, len(line) - depth), np.int64)
+    for k in (*range(1, depth + 1), 0):
+        codes <<= 8
+        codes |= line[depth - k : len(line) - k]
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    begins = np.concatenate([[0], np.cumsum(sizes + 3)[:-1]]) if len(texts) else sizes
+    begins = np.concatenate([[0], np.cumsum(sizes + depth)[:-1]]) if len(texts) else sizes
     used = np.ones(len(codes), bool)
-    for k in (1, 2, 3):
+    for k in range(1, depth + 1):
         used[begins[1:] - k] = False
     return codes[used], np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(texts) else sizes, sizes
 
@@ -65,10 +75,9 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return starts, ends, span_hashes(data, starts, ends), np.searchsorted(begins, starts, "right") - 1, line
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, ends and runs of four bytes, summed as far as a task can hold."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words and ends, summed as far as a task can hold."""
     words: dict[bytes, int] = {}
-    grams: dict[int, int] = {}
     ends = size = 0
     for batch in batches:
         texts = [t.lower() for t in text_bytes(batch.column(0))]
@@ -81,146 +90,269 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 words[word], size = k, size + b - a
         ends += len(texts)
-        for code, k in zip(*(x.tolist() for x in np.unique(grams_of(texts)[0], return_counts=True))):
-            grams[code] = grams.get(code, 0) + k
         if len(words) > HELD_WORDS or size > HELD_BYTES:
-            yield _counted(WORD_KIND, words)
+            yield _counted(words)
             words, size = {}, 0
-        if len(grams) > HELD_WORDS:
-            yield _counted(BYTES_KIND, {c.to_bytes(4, "big"): k for c, k in grams.items()})
-            grams = {}
     if ends:
         words[END] = ends
-    yield _counted(WORD_KIND, words)
-    yield _counted(BYTES_KIND, {c.to_bytes(4, "big"): k for c, k in grams.items()})
+    yield _counted(words)
+
+
+def _counted(found: dict[bytes, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["token", "n"])
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
+
 
+def _count_runs(depth: int):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(run twice, and 1 where it is held out; count), summed as far as a task can hold."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-def _counted(kind: int, found: dict[bytes, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), kind, np.int32)), pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], schema=_COUNTS)
+        def sent() -> Iterator[pa.RecordBatch]:
+            keys, n = held[0]
+            for k in range(0, len(keys), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 18)]) for x in (keys, n)], names=["key", "n"])
+
+        for batch in batches:
+            codes, _, sizes = grams_of([t.lower() for t in text_bytes(batch.column(0))], depth)
+            apart = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append(np.unique(codes << 1 | np.repeat(apart, sizes), return_counts=True))
+            if sum(len(k) for k, _ in held) > HELD_RUNS:
+                held = [_summed(held)]
+                if len(held[0][0]) > HELD_RUNS // 2:
+                    yield from sent()
+                    held = []
+        if held and sum(len(k) for k, _ in held):
+            held = [_summed(held)]
+            yield from sent()
+
+    return counted
+
+
+#: Logarithms of the gamma function at k + 1/2 and at k + 1.
+_HALVES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(65535) + 0.5))]) + 0.5 * math.log(math.pi)
+_WHOLES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 65536)))])
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """By Stirling's series at x + 8, stepped back."""
-    y = x + 8
-    series = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    steps = np.ones_like(x)
-    for k in range(8):
-        steps = steps * (x + k)
-    return series - np.log(steps)
+    """By Stirling's series, for large arguments."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
 
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - math.log(math.pi) - _log_gamma(zeros + ones + 1)
+    both = zeros + ones
+    last = len(_HALVES) - 1
+    out = _HALVES[np.minimum(zeros, last)] + _HALVES[np.minimum(ones, last)] - math.log(math.pi) - _WHOLES[np.minimum(both, last)]
+    for k in np.flatnonzero(both > last):
+        z, o = (_HALVES[x] if x <= last else _log_gamma(np.float64(x + 0.5)) for x in (zeros[k], ones[k]))
+        out[k] = z + o - math.log(math.pi) - _log_gamma(np.float64(both[k] + 1))
+    return out
 
 
-def _bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 decisions of a byte, breadth first, from counts of bytes (rows of 256)."""
-    zeros, ones = [], []
+class Forest:
+    """Subtrees from depth top to depth, given runs as sorted numbers (context, nearest byte first, then the byte) and their counts.
+
+    For one of the eight decisions at a time, each depth's nodes are runs of rows with the same
+    context and the same bits before the decision.
+    """
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int, top: int):
+        keys, n = codes, n.astype(np.int64)
+        self.rows, self.up = [(keys, n)], []
+        for _ in range(depth - top):
+            above, up = np.unique(keys >> 16 << 8 | keys & 255, return_inverse=True)
+            n = np.bincount(up, weights=n, minlength=len(above)).astype(np.int64)
+            keys = above
+            self.rows.insert(0, (keys, n))
+            self.up.insert(0, up)
+
+    def nodes(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the top's nodes, the context with the bits before the decision as one number of at most 255, and their first rows."""
+        keys = self.rows[0][0]
+        part = keys >> 8 - level
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        return keys[first] >> 8 << 8 | 1 << level | (keys[first] & 255) >> 8 - level, first
+
+    def fold(self, level: int, below: np.ndarray | None = None) -> np.ndarray:
+        """Logarithms of the top nodes' weighted probabilities. below: of what extends the deepest nodes, None where they are leaves."""
+        first, ids = [], []
+        for keys, _ in self.rows:
+            part = keys >> 8 - level
+            fresh = np.concatenate([[True], part[1:] != part[:-1]])
+            first.append(np.flatnonzero(fresh))
+            ids.append(np.cumsum(fresh) - 1)
+        self.first, self.ids, self.found = first, ids, []
+        for k in range(len(self.rows) - 1, -1, -1):
+            keys, n = self.rows[k]
+            both = np.add.reduceat(n, first[k])
+            ones = np.add.reduceat(n * (keys >> 7 - level & 1), first[k])
+            own = _log_kt(both - ones, ones)
+            weighted = own if below is None else _LOG_HALF + np.logaddexp(own, below)
+            weight = np.ones(len(own)) if below is None else np.exp(_LOG_HALF + own - weighted)
+            self.found.insert(0, (both > 0, (ones + 0.5) / (both + 1), weight))
+            if k:
+                below = np.bincount(ids[k - 1][self.up[k - 1][first[k]]], weights=weighted, minlength=len(first[k - 1]))
+        return weighted
+
+    def spread(self, state: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the mixture has, the weight left, and the last estimate, at the deepest nodes, from those above the top's; after fold."""
+        for k, (seen, one, weight) in enumerate(self.found):
+            if k:
+                above = self.ids[k - 1][self.up[k - 1][self.first[k]]]
+                state = tuple(x[above] for x in state)
+            sure, left, last = state
+            state = np.where(seen, sure + left * weight * one, sure), np.where(seen, left * (1 - weight), left), np.where(seen, one, last)
+        return state
+
+
+class Top:
+    """The mixture's state at every node of depth CUT - 1, from their runs' counts and the weighted probabilities below."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, nodes: np.ndarray, below: np.ndarray):
+        self.nodes, states = nodes, np.zeros((len(nodes), 3))
+        if len(codes):
+            forest = Forest(codes, n, CUT - 1, 0)
+            keys = forest.rows[-1][0]
+            for level in range(8):
+                part = keys >> 8 - level
+                first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                at = np.searchsorted(nodes, keys[first] >> 8 << 8 | 1 << level | (keys[first] & 255) >> 8 - level)
+                top = forest.fold(level, below[at])
+                states[at] = np.stack(forest.spread((np.zeros(len(top)), np.ones(len(top)), np.full(len(top), 0.5))), axis=1)
+        self.states = states
+
+    def above(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The states of the nodes that these of depth CUT extend."""
+        return tuple(self.states[np.searchsorted(self.nodes, nodes >> 16 << 8 | nodes & 255)].T)
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by run, cut only between contexts of CUT bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += len(batch)
+        if size >= TOGETHER:
+            here = [np.concatenate(x) for x in zip(*held)]
+            cut = here[0] >> 8 * (depth - CUT + 1)
+            whole = int(np.searchsorted(cut, cut[-1]))
+            if whole:
+                yield [c[:whole] for c in here]
+            held = [[c[whole:] for c in here]]
+            size = len(here[0]) - whole
+    if size:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _folded(depth: int):
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node of depth CUT - 1, true, log of the weighted probabilities that extend it) and (run of CUT bytes, false, count)."""
+        for codes, n, _ in _subtrees(batches, depth):
+            forest = Forest(codes, n, depth, CUT)
+            keys, values, kinds = [], [], []
+            for level in range(8):
+                weighted = forest.fold(level)
+                nodes, _ = forest.nodes(level)
+                above, up = np.unique(nodes >> 16 << 8 | nodes & 255, return_inverse=True)
+                keys.append(above)
+                values.append(np.bincount(up, weights=weighted, minlength=len(above)))
+                kinds.append(np.ones(len(above), bool))
+            runs, n = forest.rows[0]
+            above, up = np.unique(runs >> 16 << 8 | runs & 255, return_inverse=True)
+            keys.append(above)
+            values.append(np.bincount(up, weights=n, minlength=len(above)))
+            kinds.append(np.zeros(len(above), bool))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, kinds, values)], names=["key", "node", "value"])
+
+    return folded
+
+
+def run_scores(codes: np.ndarray, n: np.ndarray, top: Top, depth: int) -> np.ndarray:
+    """log10 probabilities of the last byte of each run, given the bytes before it."""
+    forest, out = Forest(codes, n, depth, CUT), np.zeros(len(codes))
     for level in range(8):
-        halves = counts.reshape(len(counts), 1 << level, 2, 128 >> level).sum(axis=3)
-        zeros.append(halves[:, :, 0])
-        ones.append(halves[:, :, 1])
-    return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
+        forest.fold(level)
+        sure, left, last = forest.spread(top.above(forest.nodes(level)[0]))
+        one = (sure + left * last)[forest.ids[-1]]
+        out += np.log10(np.where(codes >> 7 - level & 1, one, 1 - one))
+    return out
 
 
-def _one(bits: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The estimate that a decision is a one."""
-    return (bits[1] + 0.5) / (bits[0] + bits[1] + 1)
+def model(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(code, all, score): every run of depth + 1 bytes in rows (text, held_out) with its frequency and its log10 probability under the rows not held out."""
+    if not CUT <= depth <= 6:
+        raise ValueError(f"contexts have {CUT} to 6 bytes")
+    counts = rows.select("text", "held_out").mapInArrow(_count_runs(depth), "key bigint, n bigint")
+    code, seen = F.shiftright("key", 1), F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("n")).otherwise(0)
+    runs = durable(counts.groupBy(code.alias("code")).agg(F.sum(seen).alias("n"), F.sum("n").alias("all")), "ctw-runs")
+    dealt = runs.repartition(F.shiftright("code", 8 * (depth - CUT + 1))).sortWithinPartitions("code")
+    # a row for each node below at most 65,536 contexts of two bytes
+    table = dealt.mapInArrow(_folded(depth), "key bigint, node boolean, value double").groupBy("key", "node").agg(F.sum("value").alias("value")).toArrow()
+    key, node, value = (table.column(k).to_numpy() for k in range(3))
+    order = np.argsort(key, kind="stable")
+    key, node, value = key[order], node[order].astype(bool), value[order]
+    shared = rows.sparkSession.sparkContext.broadcast(Top(key[~node], np.round(value[~node]).astype(np.int64), key[node], value[node]))
 
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, n, every in _subtrees(batches, depth):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (codes, every, run_scores(codes, n, shared.value, depth))], names=["code", "all", "score"])
 
-class Model:
-    """Code lengths (log10 probabilities) of the next byte, a row of 256 for each leaf.
+    out = durable(dealt.mapInArrow(scored, "code bigint, all bigint, score double"), "ctw-scores")
+    discard(runs)
+    return out
 
-    leaves: contexts of three bytes by number, then one for each context of two bytes that is
-    known, for the other contexts that end in it, then one for each last byte.
-    """
 
-    def __init__(self, deep: np.ndarray, deep_n: np.ndarray, rest: np.ndarray, rest_n: np.ndarray):
-        """deep: runs of four bytes whose context is a leaf; rest: the last three bytes of other runs; with counts."""
-        self.contexts, leaf = np.unique(deep >> 8, return_inverse=True)
-        pairs = np.unique(np.concatenate([self.contexts & 0xFFFF, rest >> 8]))
-        self.pairs, own = pairs, len(self.contexts)
-        leaf = np.concatenate([leaf, own + np.searchsorted(pairs, rest >> 8)])
-        parent = np.concatenate([np.searchsorted(pairs, self.contexts & 0xFFFF), np.arange(len(pairs))])
-        byte, n = np.concatenate([deep & 255, rest & 255]), np.concatenate([deep_n, rest_n])
-        order = np.argsort(leaf, kind="stable")
-        leaf, byte, n = leaf[order], byte[order], n[order]
-
-        def counts(k: int, stop: int) -> np.ndarray:
-            out, at = np.zeros((stop - k, 256)), slice(*np.searchsorted(leaf, (k, stop)))
-            out[leaf[at] - k, byte[at]] = n[at]
-            return out
-
-        leaves, last = own + len(pairs), pairs & 255
-        blocks = [(k, min(k + MODEL_BLOCK, leaves)) for k in range(0, leaves, MODEL_BLOCK)]
-        by_pair, below = np.zeros((len(pairs), 256)), np.zeros((len(pairs), 255))
-        for k, stop in blocks:
-            here = counts(k, stop)
-            np.add.at(by_pair, parent[k:stop], here)
-            np.add.at(below, parent[k:stop], _log_kt(*_bit_counts(here)))
-        by_last = np.zeros((256, 256))
-        np.add.at(by_last, last, by_pair)
-        two, w2, weighted = _weights(by_pair, below)
-        below = np.zeros((256, 255))
-        np.add.at(below, last, weighted)
-        one, w1, weighted = _weights(by_last, below)
-        none, w0, _ = _weights(by_last.sum(axis=0, keepdims=True), weighted.sum(axis=0, keepdims=True))
-
-        def mixed(p2: np.ndarray, at: np.ndarray) -> np.ndarray:
-            return _byte_lengths(w0 * none + (1 - w0) * (w1[at] * one[at] + (1 - w1[at]) * p2)).astype(np.float32)
-
-        self.lengths = np.empty((leaves + 256, 256), np.float32)
-        for k, stop in blocks:
-            at = parent[k:stop]
-            self.lengths[k:stop] = mixed(w2[at] * two[at] + (1 - w2[at]) * _one(_bit_counts(counts(k, stop))), last[at])
-        self.lengths[leaves:] = mixed(np.full((256, 255), 0.5), np.arange(256))
-        self.row: np.ndarray | None = None
-
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        if self.row is None:  # made where it is used; the model travels without it
-            own = len(self.contexts)
-            by_pair = own + len(self.pairs) + (np.arange(1 << 16) & 255)
-            by_pair[self.pairs] = own + np.arange(len(self.pairs))
-            self.row = np.tile(by_pair.astype(np.int32), 256)
-            self.row[self.contexts] = np.arange(own)
-        return self.lengths[self.row[codes >> 8], codes & 255]
-
-
-def _weights(counts: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of contexts with these counts of bytes, and the log probabilities of what extends them: estimates, their weights, weighted log probabilities."""
-    bits = _bit_counts(counts)
-    own = _log_kt(*bits)
-    weighted = math.log(0.5) + np.logaddexp(own, below)
-    return _one(bits), np.exp(math.log(0.5) + own - weighted), weighted
-
-
-def _fitted(counts: DataFrame) -> Model:
-    """The model from counts (token, n) of runs of four bytes; the driver gets bounded tables of them."""
-    level = F.floor(F.log2("all") * 4).cast("int")
-    contexts = counts.groupBy(F.substring("token", 1, 3).alias("context")).agg(F.sum("n").alias("all")).withColumn("level", level)
+class Head:
+    """The scores of frequent runs in two tables of slots; the second takes runs whose slot in the first is taken by a more frequent one."""
+
+    def __init__(self, codes: np.ndarray, every: np.ndarray, scores: np.ndarray):
+        order = np.lexsort((codes, every))
+        codes, scores = codes[order], scores[order].astype(np.float32)
+        self.tables = []
+        for bits, by in zip(SLOTS, _HASH):
+            keys, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+            at = self._slots(codes, bits, by)
+            keys[at], values[at] = codes, scores  # of equal slots the last, the most frequent, stays
+            lost = keys[at] != codes
+            codes, scores = codes[lost], scores[lost]
+            self.tables.append((bits, by, keys, values))
+
+    @staticmethod
+    def _slots(codes: np.ndarray, bits: int, by: np.uint64) -> np.ndarray:
+        return (codes.view(np.uint64) * by >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, 0 where a run isn't in the head, and the numbers of those that aren't."""
+        bits, by, keys, values = self.tables[0]
+        at = self._slots(codes, bits, by)
+        hit = keys[at] == codes
+        out = np.where(hit, values[at], np.float32(0)).astype(np.float64)
+        rest = np.flatnonzero(~hit)
+        bits, by, keys, values = self.tables[1]
+        at = self._slots(codes[rest], bits, by)
+        hit = keys[at] == codes[rest]
+        out[rest[hit]] = values[at[hit]]
+        return out, rest[~hit]
+
+
+def _head_runs(runs: DataFrame) -> Head:
+    """The most frequent runs, as many as HEAD_RUNS holds of whole levels of frequency."""
+    level = F.floor(F.log2("all") * 64).cast("int")
     total, least = 0, 1 << 30
-    for r in contexts.groupBy("level").count().orderBy(F.desc("level")).collect():
+    for r in runs.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
         total += r["count"]
-        if total > MOST_CONTEXTS:
+        if total > HEAD_RUNS:
             break
         least = r["level"]
-    known = counts.join(contexts, F.substring("token", 1, 3) == contexts["context"])
-    own = known.where(F.col("level") >= least).select("token", "n")
-    rest = known.where(F.col("level") < least).groupBy(F.substring("token", 2, 3).alias("token")).agg(F.sum("n").alias("n"))
-    parts = []
-    for part in (own, rest):  # at most 256 rows for each leaf
-        rows = [(int.from_bytes(r["token"], "big"), r["n"]) for r in part.toLocalIterator()]
-        parts += [np.array([c for c, _ in rows], np.int64), np.array([n for _, n in rows], np.float64)]
-    return Model(*parts)
-
-
-def _byte_lengths(ones: np.ndarray) -> np.ndarray:
-    """log10 probabilities of the 256 bytes from the probability of a one at each decision."""
-    out = np.zeros((len(ones), 1))
-    for level in range(8):
-        p = ones[:, (1 << level) - 1 : (2 << level) - 1]
-        out = (out[:, :, None] + np.log10(np.stack([1 - p, p], axis=2))).reshape(len(ones), 2 << level)
-    return out
+    found = runs.where(level >= least).toArrow()  # at most HEAD_RUNS rows of three numbers
+    return Head(*(found.column(k).to_numpy() for k in range(3)))
 
 
 def _head(words: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -245,74 +377,89 @@ def _head(words: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 _SCORED = pa.schema([
-    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()),
-    ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())),
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("n_bytes", pa.int64()), ("score", pa.float64()),
+    ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("far", pa.list_(pa.int64())), ("far_times", pa.list_(pa.int32())),
 ])
-_SCORED_DDL = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, score double, rare array<binary>, times array<int>"
+_SCORED_DDL = (
+    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, n_bytes bigint, score double, "
+    "rare array<binary>, times array<int>, far array<bigint>, far_times array<int>"
+)
+
+
+def _repeats(of: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For keys with their texts' numbers: one place of each pair, how often it occurs, and the offsets of n texts."""
+    order = np.lexsort((key, of))
+    fresh = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (of[order][1:] != of[order][:-1])]) if len(order) else np.zeros(0, bool)
+    each = order[fresh]
+    times = np.diff(np.concatenate([np.flatnonzero(fresh), [len(order)]])).astype(np.int32)
+    return each, times, pa.array(np.searchsorted(of[each], np.arange(n + 1)).astype(np.int32))
 
 
-def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row.
 
-    score is the log10 probability of the lower-cased text's bytes and its end. Null texts
-    count as empty, and a null id's text as empty too where folds are dealt; repeated rows
-    each get a row; without training documents the model is uniform. Other columns are ignored.
+    score is the log10 probability of the lower-cased text's bytes and its end, bits_per_byte
+    its code length for each of these. Null texts count as empty, and a null id's text as
+    empty too where folds are dealt; repeated rows each get a row; without training documents
+    the model is uniform; an empty table gives no rows. Other columns are ignored.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (fold == HELD_OUT).alias("held_out"))
-    counts = rows.where(~F.col("held_out")).select("text").mapInArrow(_count, "kind int, token binary, n bigint")
-    counts = durable(counts.groupBy("kind", "token").agg(F.sum("n").alias("n")), "ctw-counts")
-    words = counts.where(F.col("kind") == WORD_KIND).select("token", "n")
+    words = rows.where(~F.col("held_out")).select("text").mapInArrow(_count_words, "token binary, n bigint")
+    words = durable(words.groupBy("token").agg(F.sum("n").alias("n")), "ctw-words")
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = words.where(F.col("token") == F.lit(END)).select("n").first()
     ends = ends["n"] if ends else 0
-    model = _fitted(counts.where(F.col("kind") == BYTES_KIND).select("token", "n"))
+    runs = model(rows, depth)
     head_hashes, head_counts, least = _head(words)
-    shared = spark.sparkContext.broadcast((model, head_hashes, np.log10(head_counts + 1.0)))
+    shared = spark.sparkContext.broadcast((_head_runs(runs), head_hashes, np.log10(head_counts + 1.0)))
     base = [1 if ends else 0, math.log10(ends + 1.0)]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head, logs = shared.value
+        frequent, head, logs = shared.value
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = [t.lower() for t in text_bytes(batch.column(1))]
             n = len(texts)
-            codes, begins, _ = grams_of(texts)
-            lengths = np.add.reduceat(model.score(codes).astype(np.float64), begins) if n else np.empty(0)
+            codes, begins, sizes = grams_of(texts, depth)
+            found, rest = frequent.find(codes)
+            lengths = np.add.reduceat(found, begins) if n else np.empty(0)
+            far, far_times, far_offsets = _repeats(np.searchsorted(begins, rest, "right") - 1, codes[rest], n)
             starts, stops, hashes, of, line = words_of(texts)
             at = np.minimum(np.searchsorted(head, hashes), max(0, len(head) - 1))
             hit = head[at] == hashes if len(head) else np.zeros(len(hashes), bool)
             known = base[0] + np.bincount(of[hit], minlength=n)
             got = base[1] + np.bincount(of[hit], weights=logs[at[hit]], minlength=n) if len(head) else np.full(n, base[1])
-            rest = np.flatnonzero(~hit)
-            order = rest[np.lexsort((hashes[rest], of[rest]))]
-            fresh = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (of[order][1:] != of[order][:-1])]) if len(order) else np.zeros(0, bool)
-            each = order[fresh]
-            times = np.diff(np.concatenate([np.flatnonzero(fresh), [len(order)]])).astype(np.int32)
-            offsets = pa.array(np.searchsorted(of[each], np.arange(n + 1)).astype(np.int32))
-            rare = pa.array([line[a:b] for a, b in zip(starts[each].tolist(), stops[each].tolist())], pa.binary())
+            left = np.flatnonzero(~hit)
+            each, times, offsets = _repeats(of[left], hashes[left], n)
+            rare = pa.array([line[a:b] for a, b in zip(starts[left[each]].tolist(), stops[left[each]].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(number, number + n)), batch.column(0), batch.column(2), pa.array(np.bincount(of, minlength=n)[:n] + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(got), pa.array(lengths),
-                    pa.ListArray.from_arrays(offsets, rare), pa.ListArray.from_arrays(offsets, pa.array(times)),
+                    pa.array(np.arange(number, number + n)), batch.column(0), batch.column(2), pa.array(np.bincount(of, minlength=n)[:n] + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(got),
+                    pa.array(sizes, pa.int64()), pa.array(lengths), pa.ListArray.from_arrays(offsets, rare), pa.ListArray.from_arrays(offsets, pa.array(times)),
+                    pa.ListArray.from_arrays(far_offsets, pa.array(codes[rest][far])), pa.ListArray.from_arrays(far_offsets, pa.array(far_times)),
                 ],
                 schema=_SCORED,
             )
             number += n
 
-    parts = durable(rows.mapInArrow(scored, _SCORED_DDL), "ctw-scores")
+    parts = durable(rows.mapInArrow(scored, _SCORED_DDL), "ctw-parts")
     rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("token"), F.col("w.times").alias("times"))
     # a word in the head never is among a text's rare ones, so its count needn't travel
     tail = words.where((F.floor(F.log2("n") * 4) < (least if least < 1 << 62 else 1 << 30)) | (F.octet_length("token") > HEAD_BYTES))
     met = rare.join(tail, "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    out = parts.drop("rare", "times").join(met, "row", "left")
+    far = parts.select("row", F.explode(F.arrays_zip("far", "far_times")).alias("w")).select("row", F.col("w.far").alias("code"), F.col("w.far_times").alias("times"))
+    deep = far.join(runs.select("code", F.col("score").alias("each")), "code").groupBy("row").agg(F.sum(F.col("times") * F.col("each")).alias("more_score"))
+    out = parts.drop("rare", "times", "far", "far_times").join(met, "row", "left").join(deep, "row", "left")
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("bigint").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.lit(math.log10(tokens + kinds + 1.0))).alias("base_score"),
-        "score",
+        score.alias("score"),
+        (-score / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

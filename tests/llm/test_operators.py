@@ -10,6 +10,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -357,60 +358,98 @@ def test_scores(spark, docs):
     for i, t, _ in rows:
         words = [*WORD.findall(low(t)), "\n"]
         wanted[(i, held(i), len(words), sum(counts[w] > 0 for w in words), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), 6))] += 1
-    for head in (200_000, 40, 0):
-        ctw.HEAD_WORDS, before = head, ctw.HEAD_WORDS
+    told = []
+    for head, frequent in ((200_000, 1 << 20), (0, 40)):
+        before = ctw.HEAD_WORDS, ctw.HEAD_RUNS
+        ctw.HEAD_WORDS, ctw.HEAD_RUNS = head, frequent
         try:
             found = ctw.scores(docs).collect()
         finally:
-            ctw.HEAD_WORDS = before
+            ctw.HEAD_WORDS, ctw.HEAD_RUNS = before
         assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found) == wanted
-    per_byte = {r["doc_id"]: -r["score"] * math.log2(10) for r in found}
-    assert per_byte[0] / (len(rows[0][1].encode()) + 1) < 8 and all(x > 0 for x in per_byte.values())
+        told.append(Counter((r["doc_id"], round(r["score"], 2)) for r in found))
+    assert told[0] == told[1]
+    trees = _trees([low(t).encode() for i, t, _ in rows if not held(i)], ctw.DEPTH)
+    for i, t, _ in rows[:4] + rows[24:34]:
+        text = low(t).encode()
+        score = _tree_score(trees, text, ctw.DEPTH)
+        r = next(r for r in found if r["doc_id"] == i)
+        assert r["score"] == pytest.approx(score, abs=1e-3) and r["bits_per_byte"] == pytest.approx(-score * math.log2(10) / (len(text) + 1), abs=1e-3)
     assert ctw.scores(docs.limit(0)).count() == 0
     assert ctw.scores(docs.where("text is null")).count() == 1
 
 
-def test_context_trees_are_distributions_and_weigh_depths():
-    texts = [b"abracadabra abracadabra", b"hello", b"", "é".encode()]
-    codes, n = np.unique(ctw.grams_of(texts)[0], return_counts=True)
-    whole = ctw.Model(codes.astype(np.int64), n.astype(float), np.empty(0, np.int64), np.empty(0))
-    cut = ctw.Model(codes[:9].astype(np.int64), n[:9].astype(float), codes[9:].astype(np.int64) & 0xFFFFFF, n[9:].astype(float))
-    none = ctw.Model(*[np.empty(0, np.int64), np.empty(0)] * 2)
-    for model in (whole, cut, none):
-        assert np.abs((10.0 ** model.lengths.astype(float)).sum(axis=1) - 1).max() < 1e-5
-    assert none.score(np.array([0x61626364]))[0] == pytest.approx(math.log10(1 / 256), abs=1e-6)
-    seen = whole.score(ctw.grams_of([b"abracadabra"])[0]).sum()
-    assert seen > whole.score(ctw.grams_of([b"qzxkvwjyqzx"])[0]).sum() + 5
-
-
-def test_mixture_equals_the_tree_sum():
-    """The root's weighted probability, by definition, against the product of the model's steps while it learns."""
-    text = b"ababab"
-    logs, seen = 0.0, []
-    for code in ctw.grams_of([text])[0]:
-        u, n = np.unique(np.array(seen, np.uint32), return_counts=True)
-        model = ctw.Model(u.astype(np.int64), n.astype(float), np.empty(0, np.int64), np.empty(0))
-        logs += model.score(np.array([code]))[0]
-        seen.append(code)
-
-    def weighted(codes, depth, bits):
-        mine = [c for c in codes if bin(256 | (c & 255))[3:].startswith(bits)]
-        zeros = sum(bin(256 | (c & 255))[3:][len(bits)] == "0" for c in mine)
-        own = 1.0
-        for k in range(len(mine)):
-            hit = bin(256 | (mine[k] & 255))[3:][len(bits)]
-            own *= (sum(bin(256 | (c & 255))[3:][len(bits)] == hit for c in mine[:k]) + 0.5) / (k + 1)
-        assert 0 <= zeros <= len(mine)
-        if depth == 3 or not mine:
-            return own
-        inner = 1.0
-        for b in {c >> (8 * (depth + 1)) & 255 for c in codes}:
-            inner *= weighted([c for c in codes if c >> (8 * (depth + 1)) & 255 == b], depth + 1, bits)
-        return 0.5 * own + 0.5 * inner
-
-    codes = [int(c) for c in ctw.grams_of([text])[0]]
-    total = sum(math.log10(weighted(codes, 0, bin(256 | k)[3:][:n])) for n in range(8) for k in {x << (8 - n) & 255 for x in range(1 << n)} if any(bin(256 | (c & 255))[3:].startswith(bin(256 | k)[3:][:n]) for c in codes))
-    assert logs == pytest.approx(total, abs=1e-4)
+def _trees(texts, depth):
+    """Zeros and ones by context of 0 to depth bytes and the bits before a decision; then logs of the weighted probabilities."""
+    counts, below = {}, {}
+    for t in texts:
+        line = b"\xff" * depth + t + b"\xff"
+        for k in range(depth, len(line)):
+            bits = f"{line[k]:08b}"
+            for d in range(depth + 1):
+                for level in range(8):
+                    node = (line[k - d : k], bits[:level])
+                    counts.setdefault(node, [0, 0])[int(bits[level])] += 1
+                    if d:
+                        below.setdefault((line[k - d + 1 : k], bits[:level]), set()).add(node)
+    logs = {}
+    for node in sorted(counts, key=lambda x: -len(x[0])):
+        z, o = counts[node]
+        own = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
+        logs[node] = (own, own if len(node[0]) == depth else math.log(0.5) + np.logaddexp(own, sum(logs[x][1] for x in below[node])))
+    return counts, logs
+
+
+def _tree_score(trees, text, depth):
+    counts, logs = trees
+    line, total = b"\xff" * depth + text + b"\xff", 0.0
+    for k in range(depth, len(line)):
+        bits = f"{line[k]:08b}"
+        for level in range(8):
+            sure, left, last = 0.0, 1.0, 0.5
+            for d in range(depth + 1):
+                node = (line[k - d : k], bits[:level])
+                if node not in counts:
+                    break
+                z, o = counts[node]
+                own, weighted = logs[node]
+                last = (o + 0.5) / (z + o + 1)
+                weight = 1.0 if d == depth else 0.5 * math.exp(own - weighted)
+                sure, left = sure + left * weight * last, left * (1 - weight)
+            one = sure + left * last
+            total += math.log10(one if bits[level] == "1" else 1 - one)
+    return total
+
+
+def _run_scores(codes, n, depth):
+    batch = pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n), pa.array(n)], names=["code", "n", "all"])
+    sums = Counter()
+    for b in ctw._folded(depth)(iter([batch])):
+        for key, node, value in zip(*(c.to_pylist() for c in b.columns)):
+            sums[(node, key)] += value
+    nodes, runs = (np.array(sorted(k for node, k in sums if node == x), np.int64) for x in (True, False))
+    top = ctw.Top(runs, np.array([int(sums[(False, k)]) for k in runs.tolist()], np.int64), nodes, np.array([sums[(True, k)] for k in nodes.tolist()]))
+    return ctw.run_scores(codes, n, top, depth)
+
+
+@pytest.mark.parametrize("together", [4, 1 << 16])
+def test_next_bytes_are_a_distribution_and_the_ratio_of_weighted_probabilities(monkeypatch, together):
+    monkeypatch.setattr(ctw, "TOGETHER", together)
+    texts, depth = [b"abracadabra abracadabra", b"hello cadabra", b"", "é".encode()], 4
+    seen = Counter(ctw.grams_of(texts, depth)[0].tolist())
+    context = ctw.grams_of([b"abracad"], depth)[0][-2]  # what comes after "acad" was seen
+    novel = ctw.grams_of([b"xyzxyzx"], depth)[0][-2]
+    for ahead in (int(context), int(novel)):
+        codes = np.array(sorted({*seen, *((ahead & ~255) + b for b in range(256))}), np.int64)
+        scores = dict(zip(codes.tolist(), _run_scores(codes, np.array([seen[c] for c in codes.tolist()], np.int64), depth).tolist()))
+        assert sum(10 ** scores[(ahead & ~255) + b] for b in range(256)) == pytest.approx(1)
+    counts, logs = _trees(texts, depth)
+    after = _trees([*texts, b""], depth)  # one more empty text: the end after four edges
+    root = lambda x: sum(x[1][(b"", f"{255:08b}"[:level])][1] for level in range(8))
+    end = int(ctw.grams_of([b""], depth)[0][0])
+    assert _run_scores(np.array(sorted(seen)), np.array([seen[c] for c in sorted(seen)]), depth)[sorted(seen).index(end)] == pytest.approx((root(after) - root((counts, logs))) / math.log(10))
+    with pytest.raises(ValueError):
+        ctw.model(None, 7)
 
 
 # simhash
