@@ -37,7 +37,7 @@ HEAD_WORDS, HEAD_BYTES = 200_000, 64
 #: A task sends its word counts on when it holds so many words, or so many bytes of them, and its runs' counts at so many.
 HELD_WORDS, HELD_BYTES, HELD_RUNS = 400_000, 32 << 20, 1 << 21
 #: Bytes of context, 3 to 6.
-DEPTH = 6
+DEPTH = 5
 #: Bytes of context by which subtrees are dealt out, and runs that are worked out together.
 CUT, TOGETHER = 3, 1 << 16
 #: Runs whose scores are broadcast, and the slots (as powers of two) of the two tables that hold them.
@@ -112,13 +112,16 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def _count_runs(depth: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(run twice, and 1 where it is held out; count), summed as far as a task can hold."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        """(run, count outside of held-out texts, count), summed as far as a task can hold."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # numbers of runs twice, and 1 where held out
 
         def sent() -> Iterator[pa.RecordBatch]:
             keys, n = held[0]
-            for k in range(0, len(keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 18)]) for x in (keys, n)], names=["key", "n"])
+            codes, every = _summed([(keys >> 1, n)])
+            seen = np.zeros(len(codes), np.int64)
+            seen[np.searchsorted(codes, keys[keys & 1 == 0] >> 1)] = n[keys & 1 == 0]
+            for k in range(0, len(codes), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 18)]) for x in (codes, seen, every)], names=["code", "n", "all"])
 
         for batch in batches:
             codes, _, sizes = grams_of([t.lower() for t in text_bytes(batch.column(0))], depth)
@@ -126,10 +129,10 @@ def _count_runs(depth: int):
             held.append(np.unique(codes << 1 | np.repeat(apart, sizes), return_counts=True))
             if sum(len(k) for k, _ in held) > HELD_RUNS:
                 held = [_summed(held)]
-                if len(held[0][0]) > HELD_RUNS // 2:
+                if len(held[0][0]) > HELD_RUNS * 3 // 4:
                     yield from sent()
                     held = []
-        if held and sum(len(k) for k, _ in held):
+        if sum(len(k) for k, _ in held):
             held = [_summed(held)]
             yield from sent()
 
@@ -289,9 +292,8 @@ def model(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(code, all, score): every run of depth + 1 bytes in rows (text, held_out) with its frequency and its log10 probability under the rows not held out."""
     if not CUT <= depth <= 6:
         raise ValueError(f"contexts have {CUT} to 6 bytes")
-    counts = rows.select("text", "held_out").mapInArrow(_count_runs(depth), "key bigint, n bigint")
-    code, seen = F.shiftright("key", 1), F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("n")).otherwise(0)
-    runs = durable(counts.groupBy(code.alias("code")).agg(F.sum(seen).alias("n"), F.sum("n").alias("all")), "ctw-runs")
+    counts = rows.select("text", "held_out").mapInArrow(_count_runs(depth), "code bigint, n bigint, all bigint")
+    runs = durable(counts.groupBy("code").agg(F.sum("n").alias("n"), F.sum("all").alias("all")), "ctw-runs")
     dealt = runs.repartition(F.shiftright("code", 8 * (depth - CUT + 1))).sortWithinPartitions("code")
     # a row for each node below at most 65,536 contexts of two bytes
     table = dealt.mapInArrow(_folded(depth), "key bigint, node boolean, value double").groupBy("key", "node").agg(F.sum("value").alias("value")).toArrow()
