@@ -128,6 +128,7 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     size counts the text's words (null: 0). A null source is a source of its own, ordered last.
     Documents without words are never taken. Repeated rows are sampled apart from each other.
+    The driver sees one row for each source.
     An empty table gives no rows; other columns are ignored. Draws are seeded by source and
     block, and blocks hold their rows in order of size, id and text, so reruns agree.
     """
@@ -153,32 +154,39 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     few = len(plan) <= 100_000  # otherwise Spark joins them by shuffling
     joined = slim.join(F.broadcast(sources) if few else sources, slim["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     block = F.pmod(F.xxhash64(F.lit(3), "id", "tie"), F.col("blocks").cast("bigint"))
+    joined = joined.withColumns({c: F.when(F.col("size") > 0, F.col(c)).otherwise(0) for c in ("base", "p")})
     flying = joined.select("id", "tie", "size", "rank", "base", "p", block.alias("block"), F.lit(1).alias("turn"), (F.col("blocks") == 1).alias("last"))
     whole = (F.col("p") < _NEAR) | (F.col("p") > 1 - _NEAR)
     settled = []
     for turn in range(2, 100):
         flown = durable(flying.groupBy("rank", "block").applyInPandas(_block, _FLOWN), "mix-flight")
         settled.append(flown.where(whole))
-        left = {r["rank"]: math.ceil(r["count"] / BLOCK) for r in flown.where(~whole).groupBy("rank").count().collect()}
+        left = [(r["rank"], math.ceil(r["count"] / BLOCK)) for r in flown.where(~whole).groupBy("rank").count().collect()]
         if not left:
             break
-        blocks = F.element_at(F.create_map(*[F.lit(x) for kv in left.items() for x in kv]), F.col("rank")).cast("bigint")
-        flying = flown.where(~whole).withColumns({"block": F.pmod(F.xxhash64(F.lit(turn), "id", "tie"), blocks), "turn": F.lit(turn), "last": blocks == 1})
+        dealt = spark.createDataFrame(left, "rank int, blocks bigint")
+        flying = flown.where(~whole).drop("block", "turn", "last").join(F.broadcast(dealt) if few else dealt, "rank")
+        flying = flying.withColumns({"block": F.pmod(F.xxhash64(F.lit(turn), "id", "tie"), F.col("blocks")), "turn": F.lit(turn), "last": F.col("blocks") == 1})
+        flying = flying.select("id", "tie", "size", "rank", "base", "p", "block", "turn", "last")
     taken = reduce(DataFrame.unionByName, settled).select("id", "tie", "size", "rank", (F.col("base") + F.round("p")).cast("int").alias("copies"))
     by_rank = sources.select("rank", "source", "source_size", "target")
     return taken.join(F.broadcast(by_rank) if few else by_rank, "rank").drop("rank")
 
 
-def mix(df: DataFrame, **columns: str) -> DataFrame:
-    """The rows of df as often as the mix takes them, with df's own columns.
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of df as often as the mix takes them, with df's own columns, whatever their names.
 
-    Rows that agree in id and text are told apart by nothing the mix looks at; together
-    they appear as often as it takes all of them.
+    Rows that agree in id, text and source are told apart by nothing the mix looks at: one of
+    them appears as often as it takes all. Null ids and sources, empty tables and texts are
+    treated as in copies.
     """
-    id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
-    tie = F.xxhash64(text_or_empty(text_col))
-    wanted = copies(df, **columns).groupBy("id", "tie").agg(F.sum("copies").cast("int").alias("__copies"))
-    wanted = wanted.where("__copies > 0").select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), "__copies")
-    rows = df.withColumns({"__doc": F.col(id_col).cast("bigint"), "__text": tie}).dropDuplicates(["__doc", "__text"])
-    found = rows.join(wanted, rows["__doc"].eqNullSafe(wanted["__id"]) & (rows["__text"] == wanted["__tie"]))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*df.columns)
+    names = ("i", "t", "s")
+    wanted = copies(df, id_col, text_col, source_col).groupBy("id", "tie", "source").agg(F.sum("copies").cast("int").alias("copies"), (F.count("*") > 1).alias("again"))
+    wanted = wanted.where("copies > 0").select(*[F.col(c).alias(n) for c, n in zip(("id", "tie", "source"), names)], "copies", "again")
+    key = [F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(text_or_empty(f"`{text_col}`")), F.col(f"`{source_col}`").cast("string")]
+    marked = df.select(F.struct(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for c, n in zip(key, ("id", "tie", "source"))]).alias("m")).select("m.*")
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")) & F.col("source").eqNullSafe(F.col("s"))
+    found = marked.join(wanted, same).select("row", *names, "copies", "again")
+    one = found.where("again").groupBy(*names).agg(F.min_by("row", F.xxhash64("row")).alias("row"), F.max("copies").alias("copies"))
+    every = found.where(~F.col("again")).select("row", "copies").union(one.select("row", "copies"))
+    return every.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -91,6 +91,22 @@ def test_mix(spark, docs):
     assert mixing.copies(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_blank_documents_are_never_taken_and_sources_stay_apart(spark):
+    rows = [(k, " ", "a") for k in range(10)] + [(k, _words(20 + k, k), "a") for k in range(10, 14)] + [(20, _words(300, 20), "b"), (21, _words(40, 21), "c")]
+    same = [(30, _words(12, 30), s) for s in ("a", "b", None)] + [(31, _words(9, 31), "b")] * 2
+    df = spark.createDataFrame(rows + same, "doc_id long, text string, source string").selectExpr("*", "doc_id as id", "source as copies", "text as `row`", "1 as t")
+    taken = mixing.copies(df).collect()
+    assert all(r["copies"] == 0 for r in taken if r["size"] == 0) and any(r["copies"] == 3 for r in taken)
+    wanted = Counter()
+    for r in taken:
+        wanted[(r["id"], r["source"])] += r["copies"]
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and Counter((r["doc_id"], r["source"]) for r in mixed.collect()) == +wanted
+    sizes = [(f"s{k:06d}", k % 90) for k in range(100_000)]
+    shares = mixing.targets(sizes)
+    assert sum(shares.values()) == pytest.approx(sum(n for _, n in sizes)) and all(shares[s] <= 3 * n + 1e-6 for s, n in sizes)
+
+
 def test_many_blocks_come_near_their_targets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 16)
     rows = [(k, "w " * (1 + k * 7 % 50), f"s{k % 3}") for k in range(900)]
