@@ -2,14 +2,17 @@
 
 Of a text's code points c the arrays P[i] = sum of (c[j] + 1) * base^j for j < i, modulo two
 primes, answer in constant time whether any two spans are equal, so the longest common
-extension of two places is found by binary search. A fingerprint is the length and the hash
-of the whole; the likeness of two is the part of the longer text that common stretches in the
-same order make up: the beginning, the end, and between them those found again after each
-difference by a run of GRAM code points.
+extension of two places is found by binary search. A fingerprint samples these arrays at
+places that the text around them chooses, so that equal stretches are sampled alike: it has
+the text's length and hash, and the length and hash of each span between two places. The
+likeness of two fingerprints is the part of the longer text that common runs of spans in the
+same order make up; they are lined up anew after each difference and extended by binary
+search over prefix hashes of the spans. An edit costs the span around it, about 30 code points.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -26,8 +29,10 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1402024253)
 #: Rows in a range of ids, ranges at most, and ids drawn for each range.
 ROWS_PER_RANGE, MOST_RANGES, IDS_PER_RANGE = 256, 16384, 8
-#: Code points by which two texts are lined up again after a difference, and places looked at for that.
-GRAM, PLACES = 16, 64
+#: Code points that choose a place, how many are passed by for one that is chosen, and the least and most between two.
+GRAM, RATE, LEAST, MOST = 8, 24, 8, 96
+#: Spans looked at together when lining up two fingerprints.
+PLACES = 64
 
 _POWERS = [np.ones(1, np.int64), np.ones(1, np.int64)]
 
@@ -92,93 +97,127 @@ class Prefixes:
             low, high = (middle, high) if self.equal(at - middle, other, other_at - middle, middle) else (low, middle - 1)
         return low
 
-    def fingerprint(self) -> str:
-        return f"{self.n:x}-" + "".join(f"{int(s[-1]):08x}" for s in self.sums)
-
-    def grams(self, start: int, stop: int) -> np.ndarray:
-        """A number for each run of GRAM code points inside start to stop, equal for equal runs."""
-        n = max(0, stop - start - GRAM + 1)
-        out = np.zeros(n, np.int64)
-        for k, prime in enumerate(PRIMES):
-            sums = self.sums[k][start:]
-            moved = (sums[GRAM : GRAM + n] - sums[:n]) % prime * _inverses(k, start + n)[start : start + n] % prime
-            out = (out << 31) + moved
-        return out
-
-    def likeness(self, other: Prefixes) -> float:
-        """Common stretches in order, the beginning and the end among them, as a part of the longer text; 1 for two empty texts."""
+    def places(self) -> np.ndarray:
+        """The chosen places, with the beginning and the end."""
+        n, prime = max(0, self.n - GRAM + 1), PRIMES[0]
+        sums = self.sums[0]
+        moved = (sums[GRAM : GRAM + n] - sums[:n]) % prime * _inverses(0, n)[:n] % prime
+        chosen, last = [0], 0
+        for at in (*(np.flatnonzero(moved % RATE == 0) + GRAM).tolist(), self.n):
+            while at - last > MOST:
+                last += MOST
+                chosen.append(last)
+            if at - last >= LEAST or at == self.n > last:
+                last = at
+                chosen.append(at)
+        return np.array(chosen)
+
+    def fingerprint(self) -> Fingerprint:
+        at, prime = self.places(), PRIMES[0]
+        spans = (self.sums[0][at[1:]] - self.sums[0][at[:-1]]) % prime * _inverses(0, self.n + 1)[at[:-1]] % prime
+        return Fingerprint(self.n, "".join(f"{int(s[-1]):08x}" for s in self.sums), np.diff(at), spans)
+
+
+class Fingerprint:
+    """A text's length and hash, and the lengths and hashes of its spans; str() and read() write and read it."""
+
+    def __init__(self, n: int, whole: str, lengths: np.ndarray, hashes: np.ndarray):
+        self.n, self.whole, self.lengths, self.hashes = n, whole, lengths.astype(np.int64), hashes.astype(np.int64)
+        self.spans = self.hashes << 8 | self.lengths
+        self.prefixes: Prefixes | None = None
+
+    def __str__(self) -> str:
+        packed = self.lengths.astype("u1").tobytes() + self.hashes.astype("<u4").tobytes()
+        return f"{self.n:x}-{self.whole}-{base64.b64encode(packed).decode()}"
+
+    @classmethod
+    def read(cls, written: str) -> Fingerprint:
+        n, whole, packed = written.split("-")
+        data = base64.b64decode(packed)
+        k = len(data) // 5
+        return cls(int(n, 16), whole, np.frombuffer(data[:k], "u1"), np.frombuffer(data[k:], "<u4"))
+
+    def likeness(self, other: Fingerprint) -> float:
+        """Common runs of spans in order as a part of the longer text; 1 for two empty texts."""
         longer = max(self.n, other.n)
-        if not longer:
+        if (self.n, self.whole) == (other.n, other.whole):
             return 1.0
-        start = self.extension(0, other, 0)
-        end = min(self.extension_back(self.n, other, other.n), min(self.n, other.n) - start)
-        return (start + end + self._between(other, start, self.n - end, other.n - end)) / longer
-
-    def _between(self, other: Prefixes, start: int, stop: int, other_stop: int) -> int:
-        """Code points in common stretches after start and before the two stops, lined up anew after each difference."""
-        if min(stop, other_stop) - start < GRAM:
-            return 0
-        mine, its = self.grams(start, stop), other.grams(start, other_stop)
+        if not np.isin(self.spans, other.spans).any():
+            return 0.0
+        for x in (self, other):
+            x.prefixes = x.prefixes or Prefixes(x.spans % PRIMES[1])
+        most = min(len(self.spans), len(other.spans))
+        start = self.prefixes.extension(0, other.prefixes, 0)
+        end = min(self.prefixes.extension_back(len(self.spans), other.prefixes, len(other.spans)), most - start)
+        runs = [(0, start), (len(self.spans) - end, end), *self._between(other, start, end)]
+        return float(sum(self.lengths[at : at + n].sum() for at, n in runs)) / longer
+
+    def _between(self, other: Fingerprint, start: int, end: int) -> list[tuple[int, int]]:
+        """Common runs (first span, spans) after start and before end spans from the last, lined up anew after each difference."""
+        mine, its = self.spans[start : len(self.spans) - end], other.spans[start : len(other.spans) - end]
+        if not len(mine) or not len(its):
+            return []
         order = np.argsort(its, kind="stable")
         keys = its[order]
-        low = np.searchsorted(keys, mine)
-        places = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == mine)  # where a run of the other text starts
-        total, i, j, k = 0, 0, 0, 0
-        # order by run and then place: the first place of a run from j on is one search away
+        low, high = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+        places = np.flatnonzero(low < high)
+        runs, i, j = [], 0, 0
         while True:
-            k = int(np.searchsorted(places, i))
-            best = None
-            while k < len(places):
+            k, best = int(np.searchsorted(places, i)), None
+            while k < len(places) and best is None:
                 for x in places[k : k + PLACES].tolist():
                     if best is not None and x - i >= best[0]:
                         break
-                    a, b = int(low[x]), int(np.searchsorted(keys, mine[x], "right"))
-                    a += int(np.searchsorted(order[a:b], j))
-                    if a < b and (best is None or x - i + int(order[a]) - j < best[0]):
+                    a = int(low[x]) + int(np.searchsorted(order[low[x] : high[x]], j))
+                    if a < high[x] and (best is None or x - i + int(order[a]) - j < best[0]):
                         best = x - i + int(order[a]) - j, x, int(order[a])
-                if best is not None:
-                    break
                 k += PLACES
             if best is None:
-                return total
+                return runs
             _, x, y = best
-            long = min(self.extension(start + x, other, start + y), stop - start - x, other_stop - start - y)
-            total, i, j = total + long, x + long, y + long
+            long = min(self.prefixes.extension(start + x, other.prefixes, start + y), len(mine) - x, len(its) - y)
+            if not long:
+                return runs
+            runs.append((start + x, long))
+            i, j = x + long, y + long
 
 
 def points_of(data: bytes) -> np.ndarray:
     return np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _bounds(ids: DataFrame) -> tuple[list[int], int | None, bool]:
-    """Ids that begin a range each, from a sample of all of them; the first id; whether there is a null one."""
-    rows, nulls, least = ids.agg(F.count("*"), F.count_if(F.col("id").isNull()), F.min("id")).first()
+def _bounds(keys: DataFrame) -> tuple[list[tuple[int, int]], tuple[int, int] | None]:
+    """Keys (id, tie) that begin a range each, from a sample of all of them; the first key."""
+    rows, least = keys.agg(F.count("*"), F.min(F.struct("id", "tie"))).first()
     ranges = min(max(1, rows // ROWS_PER_RANGE), MOST_RANGES)
     if ranges < 2:
-        return [], least, nulls > 0
-    drawn = ids.where("id is not null").where(unit_interval(F.lit(13), "id") < ranges * IDS_PER_RANGE / rows).distinct()
-    known = sorted(r["id"] for r in drawn.collect())
-    return sorted({known[k * len(known) // ranges] for k in range(1, ranges)} - {least}) if known else [], least, nulls > 0
+        return [], least and tuple(least)
+    drawn = keys.where(unit_interval(F.lit(13), "id", "tie") < ranges * IDS_PER_RANGE / rows).distinct()
+    known = sorted(tuple(r) for r in drawn.collect())
+    return sorted({known[k * len(known) // ranges] for k in range(1, ranges)} - {tuple(least)}) if known else [], tuple(least)
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(target, ahead, id, text): ranges of ids, each sorted and followed by the first row of the next (ahead = 1).
 
-    Ids ascend with nulls first, rows of one id by a hash of their texts; after the last row comes the first.
+    Ids ascend, null ones counting as the smallest long; rows of one id by a hash of their
+    texts, so many of one id, or without one, are split too. After the last row comes the first.
     """
-    bounds, least, has_null = _bounds(df.select(F.col(id_col).cast("bigint").alias("id")))
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_or_empty(text_col)).alias("tie"))
-    target = F.when(F.col("id").isNull(), 0).otherwise(step_search(bounds, F.col("id"))) if bounds else F.lit(0)
-    begins = F.get(literals(bounds, "bigint"), F.col("target") - 1) == F.col("id") if bounds else F.lit(False)
-    is_first = F.col("id").isNull() if has_null else F.col("id") == F.lit(least).cast("bigint")
+    text, number = F.col(text_col).cast("string"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1 << 63).cast("bigint"))
+    bounds, least = _bounds(df.select(number.alias("id"), F.xxhash64(text_or_empty(text_col)).alias("tie")))
+    rows = df.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text"), F.struct(number.alias("id"), F.xxhash64(text_or_empty(text_col)).alias("tie")).alias("key"))
+    known = F.arrays_zip(literals([x for x, _ in bounds], "bigint").alias("id"), literals([y for _, y in bounds], "bigint").alias("tie")) if bounds else None
+    target = step_search(known, len(bounds), F.col("key")) if bounds else F.lit(0)
+    begins = F.get(known, F.col("target") - 1) == F.col("key") if bounds else F.lit(False)
+    first = F.lit(False) if least is None else F.col("key") == F.struct(*[F.lit(x).cast("bigint").alias(c) for x, c in zip(least, ("id", "tie"))])
     places = F.array(
         F.struct(F.col("target").alias("target"), F.lit(0).alias("ahead")),
         F.when((F.col("target") > 0) & begins, F.struct((F.col("target") - 1).alias("target"), F.lit(1).alias("ahead"))),
-        F.when(is_first, F.struct(F.lit(len(bounds)).alias("target"), F.lit(1).alias("ahead"))),
+        F.when(first, F.struct(F.lit(len(bounds)).alias("target"), F.lit(1).alias("ahead"))),
     )
     dealt = rows.withColumn("target", target).withColumn("place", F.explode(F.filter(places, lambda p: p.isNotNull())))
-    dealt = dealt.select(F.col("place.target").alias("target"), F.col("place.ahead").alias("ahead"), "id", "tie", "text")
-    return dealt.repartition(F.col("target")).sortWithinPartitions("target", "ahead", "id", "tie").drop("tie")
+    dealt = dealt.select(F.col("place.target").alias("target"), F.col("place.ahead").alias("ahead"), "key", F.col("doc").alias("id"), "text")
+    return dealt.repartition(F.col("target")).sortWithinPartitions("target", "ahead", "key").drop("key")
 
 
 _FOUND = pa.schema([
@@ -187,20 +226,20 @@ _FOUND = pa.schema([
 ])
 
 
-def _compared(doc: int | None, points: np.ndarray, own: Prefixes, after: np.ndarray, following: Prefixes) -> tuple:
+def _compared(doc: int | None, points: np.ndarray, own: Fingerprint, after: np.ndarray, following: Fingerprint) -> tuple:
     half = len(points) // 2
     edited = np.concatenate([points[: len(points) - half], after[:half]])
-    changed = Prefixes(edited)
+    changed = Prefixes(edited).fingerprint()
     text = edited.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    return doc, own.n, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), own.fingerprint(), changed.fingerprint(), own.likeness(changed), own.likeness(following)
+    return doc, own.n, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), str(own), str(changed), own.likeness(changed), own.likeness(following)
 
 
 def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row's fingerprint beside that of its edited text, and its likeness to that and to the next row's text.
+    """Every row's fingerprint beside that of its edited text, and its likeness to that and to the next row's fingerprint.
 
     The edited text has its last half replaced by as much of the next text's beginning. Null
-    texts count as empty, null ids come first, repeated rows follow each other, a single row
-    is its own next one, an empty table gives none; other columns are ignored.
+    texts count as empty, null ids as the smallest long, repeated rows follow each other, a single
+    row is its own next one, an empty table gives none; other columns are ignored.
     """
     bounded_batches(df.sparkSession)
 
@@ -211,7 +250,7 @@ def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 if ahead and (held is None or held[0] != target):
                     continue  # another copy of the row that followed the range before
                 points = points_of(data)
-                own = Prefixes(points)
+                own = Prefixes(points).fingerprint()
                 if held is not None and held[0] == target:
                     rows.append(_compared(*held[1:], points, own))
                 held = None if ahead else (target, doc, points, own)

@@ -23,10 +23,10 @@ from shoebox.llm.common import durable, text_or_empty, unit_interval
 RANGES_PER_SHARD, KEYS_PER_RANGE, MOST_RANGES, ROWS_PER_RANGE = 128, 8, 16384, 100_000
 
 
-def step_search(bounds: list[int], key: Column) -> Column:
-    """How many of the sorted bounds are at most key, in log2 steps on an array literal."""
-    levels = max(1, math.ceil(math.log2(len(bounds) + 1)))
-    known, steps = literals(bounds, "bigint"), F.array(*[F.lit(1 << k) for k in range(levels - 1, -1, -1)])
+def step_search(known: Column, bounds: int, key: Column) -> Column:
+    """How many of the sorted bounds in an array literal are at most key, in log2 steps."""
+    levels = max(1, math.ceil(math.log2(bounds + 1)))
+    steps = F.array(*[F.lit(1 << k) for k in range(levels - 1, -1, -1)])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) <= key, at + step).otherwise(at))
 
 
@@ -62,7 +62,7 @@ def shard_by_bytes(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_
     total, rows = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     ranges = int(min(max(shards * RANGES_PER_SHARD, rows // ROWS_PER_RANGE), MOST_RANGES))
     bounds = _boundaries(slim, total, ranges)
-    ranged = slim.withColumn("range", step_search(bounds, F.col("key")) if bounds else F.lit(0))
+    ranged = slim.withColumn("range", step_search(literals(bounds, "bigint"), len(bounds), F.col("key")) if bounds else F.lit(0))
     found = {r["range"]: r["size"] for r in ranged.groupBy("range").agg(F.sum("size").alias("size")).collect()}
     full = max(1, total // ranges)
     cuts = [math.ceil(found.get(k, 0) / full) if found.get(k, 0) > 2 * full else 1 for k in range(len(bounds) + 1)]

@@ -350,6 +350,8 @@ def test_fingerprints(spark, docs, monkeypatch):
         r = found[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (r["near_edited"] == 1) == (t == edited) and (r["near_next"] == 1) == (t == after)
+        own, changed, following = (fingerprints.Fingerprint.read(x) for x in (r["fingerprint"], r["edited_fingerprint"], found[rows[(k + 1) % len(rows)][0]]["fingerprint"]))
+        assert (r["near_edited"], r["near_next"]) == (own.likeness(changed), own.likeness(following))
         assert 0 <= r["near_next"] <= 1 and (r["fingerprint"] == r["edited_fingerprint"]) == (t == edited)
     by_text = Counter((t, found[i]["fingerprint"]) for i, t, _ in rows)
     assert len(by_text) == len({t for t, _ in by_text}) == len({f for _, f in by_text})
@@ -357,6 +359,11 @@ def test_fingerprints(spark, docs, monkeypatch):
     assert fingerprints.compare(docs.limit(0)).count() == 0
     one = fingerprints.compare(docs.where("doc_id = 0")).first()
     assert one["near_next"] == 1.0
+    texts = {f"n{k}": "next " * k for k in range(40)}
+    order = [r["t"] for r in spark.createDataFrame([(t,) for t in texts.values()], "t string").selectExpr("t", "xxhash64(t) as h").orderBy("h").collect()]
+    without = fingerprints.compare(spark.createDataFrame([(None, t) for t in order], "doc_id long, text string")).collect()
+    edited = {t[: len(t) - len(t) // 2] + order[(k + 1) % 40][: len(t) // 2] for k, t in enumerate(order)}
+    assert {r["edited_sha256"] for r in without} == {hashlib.sha256(t.encode()).hexdigest() for t in edited}
 
 
 # language model
