@@ -49,8 +49,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     archives = durable(warc.write_archives(pages), "warc")
-    found = warc.read_archives(archives).where("gap_reason is null")
+    found = warc.read_archives(archives)
     page = F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1).try_cast("bigint")
+    page = F.when(F.col("gap_reason").isNull(), page).otherwise(F.raise_error(F.concat(F.lit("damaged archive: "), "gap_reason")).cast("bigint"))
     refers = F.regexp_extract("refers_to", r"^urn:page:(-?\d+)$", 1).try_cast("bigint")
     return found.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to"))
 

@@ -3,7 +3,9 @@
 An archive is a run of gzip members, one record in each (plain archives are read too). The
 reader checks every record: the member's own checksum, the version line, Content-Length and
 the block digest. After a failed check it looks for the next member or version line that
-passes, goes on from there, and reports the bytes between as a quarantined gap.
+passes, goes on from there, and reports the bytes between as a quarantined gap. A member may
+hold several records: those that pass are kept whatever is wrong with others, and where the
+member itself is damaged, those before the damage whose block digests are right.
 """
 
 from __future__ import annotations
@@ -101,16 +103,62 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed()
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """The content and the end of a gzip member, or None where its checksum or length is wrong."""
-    inflate, out, stop = zlib.decompressobj(31), [], at
-    try:
-        while not inflate.eof and stop < len(data):
-            out.append(inflate.decompress(data[stop : stop + 65536]))
-            stop = min(len(data), stop + 65536)
-    except zlib.error:
+def _body(data: bytes, at: int) -> int | None:
+    """Where the compressed data of the gzip member that starts here begin."""
+    flags, k = data[at + 3 : at + 4], at + 10
+    if not flags or flags[0] & 0xE0:
         return None
-    return (b"".join(out), stop - len(inflate.unused_data)) if inflate.eof else None
+    if flags[0] & 4:
+        k += 2 + int.from_bytes(data[k : k + 2], "little")
+    for named in (8, 16):
+        if flags[0] & named:
+            k = data.find(b"\0", k) + 1 or len(data) + 1
+    k += 2 if flags[0] & 2 else 0
+    return k if k <= len(data) else None
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int | None, str | None]:
+    """What a gzip member inflates to as far as it does, its end where that is known, and what is wrong with it."""
+    if (k := _body(data, at)) is None:
+        return b"", None, "member has no head"
+    inflate, out, view = zlib.decompressobj(-15), [], memoryview(data)
+    while not inflate.eof and k < len(data):
+        before, step = inflate.copy(), min(65536, len(data) - k)
+        try:
+            out.append(inflate.decompress(view[k : k + step]))
+        except zlib.error:
+            for x in range(k, k + step):  # what comes before the damage
+                try:
+                    out.append(before.decompress(view[x : x + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), None, "member is damaged"
+        k += step
+    inner = b"".join(out)
+    if not inflate.eof:
+        return inner, None, "member has no end"
+    end = k - len(inflate.unused_data)
+    right = zlib.crc32(inner).to_bytes(4, "little") + (len(inner) & 0xFFFFFFFF).to_bytes(4, "little")
+    return inner, min(len(data), end + 8), None if data[end : end + 8] == right else "member's checksum is wrong"
+
+
+def _inside(inner: bytes, sound: bool) -> tuple[list[tuple[dict[str, str], bytes]], list[str]]:
+    """The records of a member's content that pass, and why stretches between them don't; of a damaged one those with a digest."""
+    found, reasons, at = [], [], 0
+    while at < len(inner):
+        got = _plain(inner, at)
+        if isinstance(got, str) or not sound and "warc-block-digest" not in got[0]:
+            reasons.append(got if isinstance(got, str) else "nothing vouches for it")
+            ahead = inner.find(b"\n" + _VERSION, at) + 1
+            while ahead and isinstance(_plain(inner, ahead), str):
+                ahead = inner.find(b"\n" + _VERSION, ahead) + 1
+            if not ahead:
+                break
+            at = ahead
+        else:
+            found.append(got[:2])
+            at = got[2]
+    return found, reasons
 
 
 def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
@@ -133,43 +181,37 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     return heads, block, last + 4
 
 
-def _at(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int] | str:
-    """The records of the member or version line that starts here, and its end."""
+def _at(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int | None, str | None]:
+    """The records of the member or version line that starts here, its end where that is known, and what is wrong."""
     if data[at : at + 3] == _MAGIC:
-        if (member := _member(memoryview(data), at)) is None:
-            return "member is damaged"
-        inner, k, found = member[0], 0, []
-        while k < len(inner):
-            if isinstance(got := _plain(inner, k), str):
-                return got
-            found.append(got[:2])
-            k = got[2]
-        return found, member[1]
+        inner, end, wrong = _member(data, at)
+        found, reasons = _inside(inner, wrong is None)
+        return found, end if found or wrong is None else None, wrong or (reasons[0] if reasons else None)
     if isinstance(got := _plain(data, at), str):
-        return got
-    return [got[:2]], got[2]
+        return [], None, got
+    return [got[:2]], got[2], None
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]:
-    """(start, end, headers, block) of every record that passes its checks, and (start, end, None, reason) of gaps."""
+    """(start, end, headers, block) of every record that passes its checks, and (start, end, None, reason) of gaps.
+
+    A record of a member that holds several has the member's start and end, and so has a gap in it.
+    """
     at = 0
     while at < len(data):
-        got, gap = _at(data, at), at
-        reason = got if isinstance(got, str) else ""
-        while isinstance(got, str):
+        found, end, wrong = _at(data, at)
+        start, at = at, end if end is not None else at
+        while end is None:  # the next member or version line with a record
             ahead = [k for k in (data.find(_MAGIC, at + 1), data.find(b"\n" + _VERSION, at) + 1) if k > at]
-            if not ahead:
+            at = min(ahead, default=len(data))
+            if not ahead or (got := _at(data, at))[2] is None and not got[0]:
+                break
+            if any(x not in found for x in got[0]):  # a member that only stores its bytes shows its records twice
                 break
-            at = min(ahead)
-            got = _at(data, at)
-        if isinstance(got, str):
-            yield gap, len(data), None, reason
-            return
-        if reason:
-            yield gap, at, None, reason
-        for heads, block in got[0]:
-            yield at, got[1], heads, block
-        at = got[1]
+        for heads, block in found:
+            yield start, at, heads, block
+        if wrong:
+            yield start, at, None, wrong
 
 
 def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -177,7 +219,8 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
 
     Takes what write_archives returns, or files read as binaryFile (path, ..., content).
     payload is filled only on request; a revisit's payload_bytes is what its HTTP head tells.
-    An empty archive or table gives no rows; null content counts as empty.
+    An empty archive or table gives no rows; null content counts as empty. A task holds an
+    archive as a whole, so archives should stay well below its memory.
     """
     bounded_batches(archives.sparkSession)
     name = "archive" if "archive" in archives.columns else "path"
