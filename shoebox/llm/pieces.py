@@ -1,11 +1,14 @@
 """SentencePiece encoding and decoding by a Viterbi search that shares prefixes.
 
 A batch's distinct words, each with its leading mark, are sorted, which is the depth-first
-order of their trie; the forward scores of a word's prefix that the word before had too are
-used again. Ids are those of the best-scoring segmentation under the vocabulary's scores,
-characters outside the vocabulary become byte pieces, and decoding gives the text back byte
-by byte. With a vocabulary of merges (BPE) the scores are the merges' ranks, so ids are the
-best by total rank and may differ from what replaying the merges gives.
+order of their trie; the forward states of a word's prefix that the word before had too are
+used again. With a vocabulary of log probabilities (unigram) ids are those of the best-scoring
+segmentation. With one of merges (BPE) a step from one piece to the next is open or barred:
+open if merging the two pieces' text by itself gives just these two. A segmentation whose
+steps are all open is what merging the whole text gives, and every prefix has exactly one,
+so the search's forward state is one piece for each prefix and the ids are those of the
+merges. Characters outside the vocabulary become byte pieces, and decoding gives the text
+back byte by byte.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from shoebox.llm.common import bounded_batches, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that a worker remembers, of at most so many characters each; the memory starts anew beyond.
 KNOWN_WORDS, KNOWN_CHARS = 300_000, 256
+#: Steps between pieces that a worker remembers as open or barred.
+KNOWN_STEPS = 600_000
 #: What an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 MARK = "▁"
@@ -66,26 +71,36 @@ class Vocabulary:
     """
 
     NORMAL, USER, BYTE = 1, 4, 6
+    MERGES = 2
 
     def __init__(self, content: bytes):
-        pieces = []
+        pieces, self.merges = [], False
         for number, value in _fields(content):
             if number == 1:
                 f = dict(_fields(value))
                 pieces.append((f.get(1, b"").decode(), struct.unpack("<f", f[2])[0] if 2 in f else 0.0, f.get(3, self.NORMAL)))
+            elif number == 2:
+                self.merges = dict(_fields(value)).get(3) == self.MERGES
+            elif number == 3 and dict(_fields(value)).get(2):
+                raise ValueError("texts aren't normalized here, as the vocabulary asks")
         self.spelled = [b""] * len(pieces)
         self.byte = [-1] * 256
         self.trie: dict = {}
+        self.pieces: dict[str, tuple[float, int]] = {}
+        self.open: dict[int, bool] = {}
         self.unknown = min((s for _, s, kind in pieces if kind == self.NORMAL), default=0.0) - UNKNOWN_PENALTY
         for k, (piece, s, kind) in enumerate(pieces):
             if kind == self.BYTE:
                 b = int(piece[1:-1], 16)
                 self.byte[b], self.spelled[k] = k, bytes([b])
+            elif kind == self.USER and self.merges:
+                raise ValueError(f"piece {piece!r} is no merge")
             elif kind in (self.NORMAL, self.USER):
                 text = piece.replace(MARK, " ")
                 self.spelled[k] = text.encode()
                 if not UNIT.fullmatch(text) or text == "\n":
                     raise ValueError(f"piece {piece!r} may cross a border of units")
+                self.pieces[text] = (s, k)
                 node = self.trie
                 for c in text:
                     node = node.setdefault(c, {})
@@ -98,6 +113,7 @@ class Vocabulary:
         before = ""
         best, start, piece = array("d", [0.0]), array("q", [0]), array("q", [-1])
         alive: list[list[tuple[int, dict]]] = [[]]
+        step = self._merge_step if self.merges else self._step
         for unit in sorted(units):
             keep, most = 0, min(len(before), len(unit), KNOWN_CHARS)
             while keep < most and before[keep] == unit[keep]:
@@ -105,7 +121,7 @@ class Vocabulary:
             del best[keep + 1 :], start[keep + 1 :], piece[keep + 1 :], alive[keep + 1 :]
             on = alive[keep]
             for at in range(keep, len(unit)):
-                on = self._step(unit[at], at, on, best, start, piece)
+                on = step(unit[at], at, on, best, start, piece)
                 if at < KNOWN_CHARS:
                     alive.append(on)
             before = unit
@@ -130,6 +146,42 @@ class Vocabulary:
         piece.append(kind)
         return ahead
 
+    def _merge_step(self, c: str, at: int, on: list, best: array, start: array, piece: array) -> list:
+        """The one piece that ends the prefix after one more character, among those that have begun: the step to it is open."""
+        origin, kind, ahead, known = at, -1, [], self.open
+        for begun, node in (*on, (at, self.trie)):
+            further = node.get(c)
+            if further is not None:
+                ahead.append((begun, further))
+                if kind < 0 and "" in further:
+                    now = further[""][1]
+                    pair = piece[begun] << 32 | now
+                    may = known.get(pair)
+                    if may is None:
+                        may = known[pair] = self._may_follow(piece[begun], now)
+                    if may:
+                        origin, kind = begun, now
+        best.append(0.0)
+        start.append(origin)
+        piece.append(kind)
+        return ahead
+
+    def _may_follow(self, before: int, now: int) -> bool:
+        """Whether merging the text of the two pieces gives just them; -1 stands for a unit's beginning or an unknown character."""
+        if before < 0:
+            return self.merged(self.spelled[now].decode()) == [now]
+        return self.merged((self.spelled[before] + self.spelled[now]).decode()) == [before, now]
+
+    def merged(self, text: str) -> list[int]:
+        """The pieces that merging a text of known characters gives: the best-scoring neighbours first, of equal ones the leftmost."""
+        parts = list(text)
+        while True:
+            found = [(self.pieces[both][0], -k) for k in range(len(parts) - 1) if (both := parts[k] + parts[k + 1]) in self.pieces]
+            if not found:
+                return [self.pieces[x][1] for x in parts]
+            k = -max(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
     def _back(self, unit: str, start: array, piece: array) -> bytes:
         ids, at = [], len(unit)
         while at:
@@ -158,6 +210,8 @@ class Encoder:
         cut = [UNIT.findall(" " + x.decode("utf-8", "surrogateescape")) if x else [] for x in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
+        if len(self.vocabulary.open) > KNOWN_STEPS:
+            self.vocabulary.open.clear()
         fresh = {u for units in cut for u in units if u not in self.known}
         got = dict(self.vocabulary.encode_units(fresh))
         self.known.update((u, ids) for u, ids in got.items() if len(u) <= KNOWN_CHARS)
@@ -184,34 +238,6 @@ def _model(df: DataFrame, path: str) -> bytes:
         return f.read()
 
 
-def encode(self, texts: Iterable[bytes]) -> list[bytes]:
-        """Each text's ids as four bytes each; the empty text has none."""
-        cut = [UNIT.findall(" " + x.decode("utf-8", "surrogateescape")) if x else [] for x in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        fresh = {u for units in cut for u in units if u not in self.known}
-        got = dict(self.vocabulary.encode_units(fresh))
-        self.known.update((u, ids) for u, ids in got.items() if len(u) <= KNOWN_CHARS)
-        found = self.known if all(len(u) <= KNOWN_CHARS for u in fresh) else self.known | got
-        return [b"".join(map(found.__getitem__, units)) for units in cut]
-
-
-_ENCODERS: dict[bytes, Encoder] = {}
-
-
-def _encoder(content: bytes) -> Encoder:
-    """The encoder of this Python worker, which keeps its words from task to task."""
-    if content not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[content] = Encoder(Vocabulary(content))
-    return _ENCODERS[content]
-
-
-def _model(df: DataFrame, path: str) -> bytes:
-    """The model file, read by Spark, so that it may lie in any store; half a MB that goes along with the tasks."""
-    return bytes(df.sparkSession.read.format("binaryFile").load(path).select("content").first()[0])
-
-
 def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, into: str = "pieces") -> DataFrame:
     """df with a column of piece ids; null and empty texts have none. A column of that name is replaced."""
     bounded_batches(df.sparkSession)

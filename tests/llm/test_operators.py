@@ -13,6 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 import xxhash
 
 from shoebox.llm import anchors, common, ctw, fingerprints, graph, mixing, pieces, quality, repeats, secrets, sharding, simhash, suffixes, warc
@@ -303,13 +304,30 @@ def _viterbi(vocabulary, text):
     return ids[::-1]
 
 
-def test_pieces_are_the_best(vocabulary):
-    encoder, draw = pieces.Encoder(vocabulary), random.Random(2)
-    texts = ["".join(draw.choice("the  ation ing é▁ñ\n\t梦x1,.") for _ in range(draw.randint(0, 50))) for _ in range(150)]
+def _piece_texts():
+    draw = random.Random(2)
+    return ["".join(draw.choice("the  ation ing é▁ñ\n\t梦x1,.") for _ in range(draw.randint(0, 50))) for _ in range(150)]
+
+
+def test_pieces_are_the_best_by_log_probabilities():
+    with open(pieces.MODEL, "rb") as f:
+        vocabulary = pieces.Vocabulary(f.read())
+    vocabulary.merges = False  # its scores then count as log probabilities
+    encoder, texts = pieces.Encoder(vocabulary), _piece_texts()
     for text, ids in zip(texts, encoder.encode(t.encode() for t in texts)):
         ids = np.frombuffer(ids, "<i4").tolist()
         assert ids == _viterbi(vocabulary, text) and vocabulary.decode(ids) == text.encode()
-    long = ("k" * 1000 + "é") * 3
+
+
+def test_pieces_are_those_of_the_merges(vocabulary):
+    library, encoder = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Encoder(vocabulary)
+    texts = _texts()
+    texts += [t.replace("▁", "_") for t in _piece_texts()] + ["a" * 700, "    x   \n  ", "ab" * 300, "Unabhängigkeitserklärungen unverständlicherweise"]
+    texts = [t.replace("▁", "_").replace("\x00", "") for t in texts if t]
+    for text, ids in zip(texts, encoder.encode(t.encode() for t in texts)):
+        ids = np.frombuffer(ids, "<i4").tolist()
+        assert ids == library.encode(text) and vocabulary.decode(ids) == text.encode()
+    long = ("k" * 1000 + "é▁") * 3
     assert vocabulary.decode(np.frombuffer(encoder.encode([long.encode()])[0], "<i4").tolist()) == long.encode()
 
 
