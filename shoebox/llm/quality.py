@@ -27,8 +27,8 @@ MOST_LOST = 0.4
 NAV_SEPARATORS, NAV_SHARE = 3, 0.2
 #: Symbols, and exclamation marks, for each word of a line of noise; capitals for each ASCII letter of a shout.
 SYMBOL_SHARE, SHOUT_SHARE, CAPITAL_SHARE, CAPITAL_LETTERS = 0.3, 0.3, 0.8, 20
-#: A line of at most so many words without a final mark is a fragment.
-FRAGMENT_WORDS = 3
+#: A line of at most so many words and characters without a final mark is a fragment; scripts without blanks have long words.
+FRAGMENT_WORDS, FRAGMENT_CHARS = 3, 24
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -66,7 +66,7 @@ def line_fails(line: bytes) -> str | None:
     upper = len(line.translate(None, _NOT_UPPER))
     if upper >= CAPITAL_LETTERS and upper > CAPITAL_SHARE * (upper + len(line.translate(None, _NOT_LOWER))):
         return "punctuation"
-    if n <= FRAGMENT_WORDS and not line.rstrip().endswith(_FINAL):
+    if n <= FRAGMENT_WORDS and not line.rstrip().endswith(_FINAL) and len(line.decode("utf-8", "replace")) <= FRAGMENT_CHARS:
         return "punctuation"
     if n <= BOILERPLATE_WORDS and _BOILERPLATE.search(line):
         return "boilerplate"
@@ -128,6 +128,7 @@ def figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Null and empty texts have no words, so the base rules reject them. Repeated rows each get
     a row, null ids stay null, other columns are ignored. Texts of any length are read whole.
+    An empty table gives no rows.
     """
     bounded_batches(df.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), *FIGURES])
@@ -142,7 +143,11 @@ def figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def clean(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that are kept, with df's own columns and without their failing lines."""
+    """The documents that are kept, with df's own columns, whatever their names, and without their failing lines.
+
+    Null and empty texts are rejected by the base rules; null ids and repeated rows are judged
+    like others; an empty table gives no rows.
+    """
     bounded_batches(df.sparkSession)
     at = df.columns.index(text_col)
 

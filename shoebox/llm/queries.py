@@ -89,7 +89,7 @@ v AS (SELECT r, line, n, CASE WHEN n = 0 THEN NULL WHEN n >= {quality.STUTTER_WO
  WHEN {separators} >= {quality.NAV_SEPARATORS} AND {separators} >= {quality.NAV_SHARE} * n THEN 'navigation'
  WHEN {count(symbols)} > {quality.SYMBOL_SHARE} * n OR {times('!!')} > {quality.SHOUT_SHARE} * n THEN 'punctuation'
  WHEN {count('[^A-Z]')} >= {quality.CAPITAL_LETTERS} AND {count('[^A-Z]')} > {quality.CAPITAL_SHARE} * {count('[^A-Za-z]')} THEN 'punctuation'
- WHEN n <= {quality.FRAGMENT_WORDS} AND NOT regexp_matches(line, '{final}') THEN 'punctuation'
+ WHEN n <= {quality.FRAGMENT_WORDS} AND length(line) <= {quality.FRAGMENT_CHARS} AND NOT regexp_matches(line, '{final}') THEN 'punctuation'
  WHEN n <= {quality.BOILERPLATE_WORDS} AND regexp_matches(line, '{phrase}') THEN 'boilerplate' END AS rule FROM j),
 s AS (SELECT r, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dup, coalesce(sum(n) FILTER (rule IS NOT NULL), 0) AS lost,
  count(*) FILTER (rule = 'punctuation') AS p, count(*) FILTER (rule = 'navigation') AS g, count(*) FILTER (rule = 'boilerplate') AS b FROM v GROUP BY r),

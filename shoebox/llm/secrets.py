@@ -23,7 +23,7 @@ from shoebox.llm.common import bounded_batches, text_bytes
 
 @dataclass(frozen=True)
 class Rule:
-    """least: characters that the group must have for a match to count; dropped ones still use up their text."""
+    """least: characters that the group must have for a match to count; dropped ones still use up their text. tail: what a match takes along."""
 
     kind: str
     pattern: str
@@ -31,15 +31,20 @@ class Rule:
     group: int = 0
     least: int = 1
     base: bool = False
+    tail: str = ""
 
 
+#: Headers and lines of base64, and all up to the END line where there is one.
+_KEY_BODY = r"(?:[\r\n]+[A-Za-z]+-[A-Za-z]+:[A-Za-z0-9,\x20-]*)*(?:[\t\n\r\x20]+[A-Za-z0-9+/=]{16,})*(?:[\t\n\r\x20A-Za-z0-9+/=]*-----END [A-Z ]*PRIVATE KEY-----)?"
+
 #: Patterns know literals, classes, groups, | ? * + {m,} {m,n} and \x escapes. Runs of hex digits
 #: are looked at from 8 digits on, as the automaton counts them; maximal runs stay the same.
+#: A private key goes to its END line, or without one to the end of its lines of base64.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", False, 0, 20, True),
     Rule("hex", r"[0-9a-f]{8,}", False, 0, 24, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=_KEY_BODY),
     Rule("hosting", r"gh[pousr]_[A-Za-z0-9]+", False, 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", False, 0, 20),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 0, 30),
@@ -271,6 +276,7 @@ class Scanner:
         self.ahead = [compile_dfa([t], False) for t in trees]
         self.back = [compile_dfa([_reversed(t)], False) for t in trees]
         self.table: list[int] | None = None
+        self.tail = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
         self.exact = [re.compile(r.pattern.encode(), re.IGNORECASE if r.ignore_case else 0) for r in rules]
 
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
@@ -287,7 +293,10 @@ class Scanner:
                 for rule in accepts[state]:
                     if at >= used[rule] and (start := self._start(data, rule, at, used[rule])) is not None:
                         used[rule] = end = self._end(data, rule, start)
-                        if self._counts(rule, data[start:end]):
+                        counts = self._counts(rule, data[start:end])
+                        if self.tail[rule]:
+                            used[rule] = end = self.tail[rule].match(data, end).end()
+                        if counts:
                             found.append((start, rule, end))
         return sorted(found)
 
@@ -340,7 +349,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """Per row: the id, a count for each base rule, base_sha256 over the base spans, and all spans as kind:start:end.
 
     Null and empty texts have no spans; null ids stay null; repeated rows each get a row;
-    texts of any length are scanned whole; other columns are ignored.
+    texts of any length are scanned whole; an empty table gives no rows; other columns are ignored.
     """
     bounded_batches(df.sparkSession)
 
@@ -371,7 +380,11 @@ def redact_text(data: bytes, scanner: Scanner) -> bytes:
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with its own columns and the secrets in the text replaced; null texts stay null."""
+    """df with its own columns, whatever their names, and the secrets in the text replaced.
+
+    Null texts stay null, empty ones empty; null ids and repeated rows stay as they are; an
+    empty table gives no rows.
+    """
     bounded_batches(df.sparkSession)
     names = df.columns
     at = names.index(text_col)

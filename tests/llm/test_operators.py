@@ -198,6 +198,18 @@ def test_secrets(spark, docs):
     assert secrets.find(docs.limit(0)).count() == 0
 
 
+def test_private_keys_go_whole():
+    draw, scanner = random.Random(7), secrets.Scanner()
+    lines = ["".join(draw.choice("ABCDabcd0123+/") for _ in range(n)) for n in (64, 64, 20, 6)]
+    body = "\n".join(lines)
+    for head in ("", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D4E5F"):
+        for kind in ("RSA ", "", "OPENSSH "):
+            key = f"-----BEGIN {kind}PRIVATE KEY-----{head}\n{body}==\n-----END {kind}PRIVATE KEY-----"
+            assert secrets.redact_text(f"see {key} and more".encode(), scanner) == b"see [private_key removed] and more"
+    got = secrets.redact_text(f"-----BEGIN PRIVATE KEY-----\n{body}\nSome text".encode(), scanner)
+    assert got == f"[private_key removed]\n{lines[3]}\nSome text".encode()
+
+
 def test_compiled_automata():
     dfa = secrets.compile_dfa([secrets._Parser("a(b|c)*d?|x{2,3}", False).parse()], False)
 

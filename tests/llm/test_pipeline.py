@@ -52,7 +52,7 @@ def test_near_duplicate_stage(steps):
 
 def test_secret_stage(steps):
     before = {r["doc_id"]: r["text"] for r in steps[2]}
-    rules = [(re.compile(r.pattern, re.A | (re.I if r.ignore_case else 0)), r) for r in secrets.RULES]
+    rules = [(re.compile(r.pattern + r.tail, re.A | (re.I if r.ignore_case else 0)), r) for r in secrets.RULES]
     for r in steps[3]:
         spans = sorted((m.start(), k, m.end(), rule.kind) for k, (p, rule) in enumerate(rules) for m in p.finditer(before[r["doc_id"]]) if len(m[rule.group]) >= rule.least)
         out, at = "", 0
