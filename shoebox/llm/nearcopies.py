@@ -5,9 +5,12 @@ Jaccard similarity is at least 0.8. Under any one order of all shingles two such
 one among the first n - ceil(0.8 n) + 1 of each, so an index of these prefixes meets every
 pair; the order puts shingles that are frequent in a sample last, which keeps groups small
 and can lose nothing. Each group first links its members to one of them. Only pairs that
-are in different components after that are looked at by themselves. A sketch of the sets'
-parities, whose differing bits never are more than the sets' differing shingles, drops most
-pairs that are not alike; every link is verified on the whole sets.
+are in different components after that are looked at by themselves, and of sets of MANY
+shingles or more only those whose SimHash fingerprints differ in at most MOST_BITS of 64 bits:
+at a similarity of 0.8 a bit differs with a chance of arccos(8/9) / pi = 0.152, so a pair has
+more with one of 1 in 100,000. A sketch of the sets' parities, whose differing bits never are
+more than the sets' differing shingles, drops most pairs that are not alike; every link is
+verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ SAMPLE, OFTEN, MOST_LAST = 20_000, 4, 200_000
 FILTER = 1 << 22
 #: Pairs that are given out together.
 PAIRS = 1 << 18
+#: Members of a group, dealt by its key, that others are first compared with.
+PIVOTS = 4
+#: Bits that the fingerprints of two similar sets of MANY shingles or more differ in at most.
+MANY, MOST_BITS = 32, 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,14 +131,17 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of two nodes or more, without repeated rows, each row beside the group's first."""
+    """Groups of two nodes or more, without repeated rows, each row beside one of the group: the same in many groups of the same nodes, but not in all."""
     for key, node, size, at in _whole_groups(batches):
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         key, node, size, at = key[fresh], node[fresh], size[fresh], at[fresh]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         many = np.diff(np.concatenate([edge, [len(key)]]))
-        first, used = np.repeat(edge, many), np.repeat(many > 1, many)
+        group = np.repeat(np.arange(len(edge)), many)
+        lot = _mixed(node.view(np.uint64) + _MIX * (key.view(np.uint64) % np.uint64(PIVOTS)))
+        order = np.lexsort((lot, group))
+        first, used = order[edge][group], many[group] > 1
         columns = (key, node, size, at, node[first], size[first], at[first])
         yield pa.RecordBatch.from_arrays([pa.array(c[used]) for c in columns], names=["key", "node", "size", "at", "first", "first_size", "first_at"])
 
@@ -144,13 +154,14 @@ def _may(n, i, m, j) -> np.ndarray:
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a group that are in different components and can be similar enough."""
-    for key, node, size, at, part in _whole_groups(batches):
+    for key, node, size, at, part, fp in _whole_groups(batches):
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         a, b, held = [], [], 0
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
             for k in range(lo, hi - 1):
                 rest = slice(k + 1, hi)
                 hit = (part[rest] != part[k]) & _may(size[rest], at[rest], size[k], at[k])
+                hit &= (np.minimum(size[rest], size[k]) < MANY) | (np.bitwise_count((fp[rest] ^ fp[k]).view(np.uint64)) <= MOST_BITS)
                 found = node[rest][hit]
                 a.append(np.minimum(found, node[k]))
                 b.append(np.maximum(found, node[k]))
@@ -229,7 +240,7 @@ def _verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFra
 def linked(rows: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFrame:
     """(node, root): the components that similar texts among rows (id, node, text) make.
 
-    known: each node's size and sketch; candidates: pairs (a, b) that are verified first.
+    known: each node's size, sketch and fingerprint; candidates: pairs (a, b) that are verified first.
     """
     index = _index(rows).repartition(F.col("key")).sortWithinPartitions("key", "node")
     groups = durable(index.mapInArrow(_repeated, _INDEX + ", first bigint, first_size int, first_at int"), "near-groups")
@@ -241,7 +252,8 @@ def linked(rows: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFram
     parts = components(found)
     named = groups.select("key", "node", "size", "at").join(parts, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("part"))
     open_keys = named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-    named = named.join(open_keys, "key", "left_semi").repartition(F.col("key")).sortWithinPartitions("key")
+    fps = known.select("node", "fp").dropDuplicates(["node"])
+    named = named.join(open_keys, "key", "left_semi").join(fps, "node").select("key", "node", "size", "at", "part", "fp").repartition(F.col("key")).sortWithinPartitions("key")
     rest = durable(named.mapInArrow(_across, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti"), "near-rest")
     if rest.take(1):
         found = durable(found.union(_verified(rows, sketches, rest)), "near-all")
