@@ -36,6 +36,8 @@ PAIRS = 1 << 18
 PIVOTS = 4
 #: Bits that the fingerprints of two similar sets of MANY shingles or more differ in at most.
 MANY, MOST_BITS = 32, 22
+#: Bits of the small sketch that goes along with a group's members.
+SMALL = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,7 +122,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
     """Columns of rows sorted by the first, cut only between its values."""
     held = None
     for batch in batches:
-        here = [c.to_numpy() for c in batch.columns]
+        here = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = here if held is None else [np.concatenate(x) for x in zip(held, here)]
         whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         if whole:
@@ -154,7 +156,8 @@ def _may(n, i, m, j) -> np.ndarray:
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a group that are in different components and can be similar enough."""
-    for key, node, size, at, part, fp in _whole_groups(batches):
+    for key, node, size, at, part, fp, small in _whole_groups(batches):
+        small = np.frombuffer(b"".join(small), np.uint64).reshape(-1, SMALL // 64)
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         a, b, held = [], [], 0
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
@@ -162,7 +165,9 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rest = slice(k + 1, hi)
                 hit = (part[rest] != part[k]) & _may(size[rest], at[rest], size[k], at[k])
                 hit &= (np.minimum(size[rest], size[k]) < MANY) | (np.bitwise_count((fp[rest] ^ fp[k]).view(np.uint64)) <= MOST_BITS)
-                found = node[rest][hit]
+                near = k + 1 + np.flatnonzero(hit)
+                near = near[9 * np.bitwise_count(small[near] ^ small[k]).sum(axis=1, dtype=np.int64) <= size[near].astype(np.int64) + size[k]]
+                found = node[near]
                 a.append(np.minimum(found, node[k]))
                 b.append(np.maximum(found, node[k]))
                 held += len(found)
@@ -189,9 +194,9 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """The parity of the shingles at each place, in a power of two of bits, two for each shingle at least."""
-    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+def sketch(hashes: np.ndarray, bits: int = 0) -> bytes:
+    """The parity of the shingles at each place, in a power of two of bits, two for each shingle at least where none are given."""
+    bits = bits or max(64, 1 << (2 * len(hashes) - 1).bit_length())
     return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -240,7 +245,7 @@ def _verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFra
 def linked(rows: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFrame:
     """(node, root): the components that similar texts among rows (id, node, text) make.
 
-    known: each node's size, sketch and fingerprint; candidates: pairs (a, b) that are verified first.
+    known: each node's size, sketch, small sketch and fingerprint; candidates: pairs (a, b) that are verified first.
     """
     index = _index(rows).repartition(F.col("key")).sortWithinPartitions("key", "node")
     groups = durable(index.mapInArrow(_repeated, _INDEX + ", first bigint, first_size int, first_at int"), "near-groups")
@@ -252,8 +257,8 @@ def linked(rows: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFram
     parts = components(found)
     named = groups.select("key", "node", "size", "at").join(parts, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("part"))
     open_keys = named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-    fps = known.select("node", "fp").dropDuplicates(["node"])
-    named = named.join(open_keys, "key", "left_semi").join(fps, "node").select("key", "node", "size", "at", "part", "fp").repartition(F.col("key")).sortWithinPartitions("key")
+    fps = known.select("node", "fp", "small").dropDuplicates(["node"])
+    named = named.join(open_keys, "key", "left_semi").join(fps, "node").select("key", "node", "size", "at", "part", "fp", "small").repartition(F.col("key")).sortWithinPartitions("key")
     rest = durable(named.mapInArrow(_across, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti"), "near-rest")
     if rest.take(1):
         found = durable(found.union(_verified(rows, sketches, rest)), "near-all")

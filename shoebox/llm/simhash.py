@@ -209,16 +209,16 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     bounded_batches(df.sparkSession)
     rows = nearcopies.keyed(df, id_col, text_col)
-    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary()), ("fp", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary()), ("small", pa.binary()), ("fp", pa.int64())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, of = nearcopies.sets_of(list(text_bytes(batch.column(2))))
             edge = np.searchsorted(of, np.arange(len(batch) + 1))
-            sketches = [nearcopies.sketch(hashes[a:b]) for a, b in zip(edge.tolist(), edge[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(edge), pa.int32()), pa.array(sketches, pa.binary()), pa.array(_of_sets(hashes, edge).view(np.int64))], schema=schema)
+            sketches, small = ([nearcopies.sketch(hashes[a:b], bits) for a, b in zip(edge.tolist(), edge[1:].tolist())] for bits in (0, nearcopies.SMALL))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(edge), pa.int32()), pa.array(sketches, pa.binary()), pa.array(small, pa.binary()), pa.array(_of_sets(hashes, edge).view(np.int64))], schema=schema)
 
-    known = durable(rows.mapInArrow(made, "id bigint, node bigint, size int, sketch binary, fp bigint"), "simhash-sets")
+    known = durable(rows.mapInArrow(made, "id bigint, node bigint, size int, sketch binary, small binary, fp bigint"), "simhash-sets")
     parts = nearcopies.linked(rows, known, candidates(known.select("node", "fp").distinct()))
     slim = known.select("id", "node")
     named = slim.join(parts, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
