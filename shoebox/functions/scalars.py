@@ -67,9 +67,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def difference_hash(rgba: Column, width: Column, height: Column) -> Column:
-    """64 bits: in a 9 x 8 grid of nearest samples, whether the luma grows to the right; null for a buffer of another size.
+    """64 bits: in a 9 x 8 grid of nearest samples, whether the luma grows to the right; null for a buffer that is too short.
 
-    rgba is an array of the pixels' bytes, row by row.
+    rgba is an array of the pixels' bytes, row by row; what follows them is ignored.
     """
     cell = lambda r, c: ((F.floor(r * height / 8) * width + F.floor(c * width / 9)) * 4).cast("int")
     luma = lambda at: F.shiftright(F.get(rgba, at) * 77 + F.get(rgba, at + 1) * 150 + F.get(rgba, at + 2) * 29, 8)
@@ -77,7 +77,7 @@ def difference_hash(rgba: Column, width: Column, height: Column) -> Column:
     bit = lambda k: F.when(luma(cell(F.floor(k / 8), k % 8)) < luma(cell(F.floor(k / 8), k % 8 + 1)), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     # most significant bit first
     found = F.aggregate(at, F.lit(0).cast("bigint"), lambda acc, k: F.shiftleft(acc, 1).bitwiseOR(bit(k)))
-    return F.when((width > 0) & (height > 0) & (F.size(rgba) == width * height * 4), found)
+    return F.when((width > 0) & (height > 0) & (F.size(rgba) >= width * height * 4), found)
 
 
 def exif_seconds(text: Column) -> Column:
@@ -102,10 +102,13 @@ def plausible(lat: Column, lon: Column) -> Column:
 
 
 def iso6709(text: Column) -> Column:
-    """struct(lat, lon) of '+48.8577+002.295+035/'; null if it isn't a plausible place."""
-    pattern = r"^\s*([+-][0-9]+(?:\.[0-9]*)?)([+-][0-9]+(?:\.[0-9]*)?)(?:[+-][0-9]+(?:\.[0-9]*)?)?\s*(?:$|/|CRS)"
-    lat, lon = (F.regexp_extract(text, pattern, k).try_cast("double") for k in (1, 2))
-    return F.when(plausible(lat, lon), F.struct(lat.alias("lat"), lon.alias("lon")))
+    """struct(lat, lon) of '+48.8577+002.295+035/'; null if it isn't a place. What follows the solidus names a reference system."""
+    number = r"[+-](?:[0-9]+\.?[0-9]*|\.[0-9]+)"
+    pattern = rf"^[^+-]*({number})({number})(?:[+-].*)?$"
+    body = F.trim(F.substring_index(text, "/", 1))
+    lat, lon = (F.regexp_extract(body, pattern, k).try_cast("double") for k in (1, 2))
+    ok = (F.abs(lat) <= 90) & (F.abs(lon) <= 180) & ~((lat == 0) & (lon == 0))
+    return F.when(ok, F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
 def rotation(degrees: Column) -> Column:
@@ -125,14 +128,13 @@ def positive_number(text: Column) -> Column:
 
 
 def capture_clock(with_offset: Column, utc: Column, zone: str) -> Column:
-    """Seconds of the wall clock of a capture: the local half of a time with offset, else a UTC time moved to the zone; null up to 0."""
+    """Seconds of the wall clock of a capture: the local half of a time with offset, else a UTC time after 1970 began, moved to the zone."""
     local = F.regexp_extract(with_offset, r"^(\d{4}-\d{2}-\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.\d+)?(?:[+-]\d{2}:?\d{2}|Z)$", 0)
     day = F.try_to_date(F.substring(local, 1, 10), "yyyy-MM-dd")
     first = F.unix_date(day).cast("bigint") * 86400 + F.substring(local, 12, 2).try_cast("int") * 3600 + F.substring(local, 15, 2).try_cast("int") * 60 + F.substring(local, 18, 2).try_cast("int")
     moved = F.from_utc_timestamp(F.to_timestamp_ntz(F.regexp_replace(F.substring(utc, 1, 19), "T", " ")).cast("timestamp"), zone)
     second = F.when(utc.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"), F.unix_date(moved.cast("date")).cast("bigint") * 86400 + F.hour(moved) * 3600 + F.minute(moved) * 60 + F.second(moved))
-    found = F.coalesce(first, second)
-    return F.when(found > 0, found)
+    return F.coalesce(first, F.when(F.unix_seconds(F.to_timestamp_ntz(F.regexp_replace(F.substring(utc, 1, 19), "T", " ")).cast("timestamp")) > 0, second))
 
 
 def sender_seconds(text: Column, now_ms: Column) -> Column:
@@ -146,9 +148,10 @@ def valid_sender(text: Column) -> Column:
 
 
 def safe_name(raw: Column) -> Column:
-    """The last segment by either separator, dots and blanks trimmed, control characters as '_'; null without a known extension."""
+    """The last segment by either separator without blanks, then dots, around it, control characters as '_'; null without a known extension."""
     name = F.regexp_extract(raw, r"(?s)([^/\\]*)$", 1)
-    name = F.regexp_replace(F.regexp_replace(name, r"^[\s.]+|[\s.]+$", ""), r"[\x00-\x1f\x7f]", "_")
+    name = F.regexp_replace(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""), r"^\.+|\.+$", "")
+    name = F.regexp_replace(name, r"[\x00-\x1f\x7f-\x9f]", "_")
     return F.when((name != "") & media_type(name).isNotNull(), name)
 
 

@@ -17,6 +17,7 @@ _CELL = 1.0
 def geocode(points: DataFrame, gazetteer: DataFrame, countries: DataFrame | None = None) -> DataFrame:
     """(path, cc, name, km, tags) of points (path, gps_lat, gps_lon) that have a place; ties by country and name.
 
+    countries (cc, country) names the codes; a code without a name gives no country tag.
     Points and places meet in cells of the globe: a place is put into every cell that some
     point within reach of it can lie in, which are more near the poles.
     """
@@ -33,5 +34,5 @@ def geocode(points: DataFrame, gazetteer: DataFrame, countries: DataFrame | None
     found = best.select("path", "p.*")
     if countries is not None:
         found = found.join(countries, "cc", "left")
-    country = F.coalesce("country", F.col("cc")) if countries is not None else F.col("cc")
+    country = F.col("country") if countries is not None else F.lit(None).cast("string")
     return found.select("path", "cc", "name", "km", place_tags(country, F.col("admin1"), F.col("name"), F.col("km")).alias("tags"))

@@ -297,6 +297,22 @@ _EXPLODED = (
     "UNION ALL SELECT path, 'set', regexp_extract(e, '^(.*?)(::[0-9]+)?$', 1), try_cast(regexp_extract(e, '::([0-9]+)$', 1) AS int) FROM (SELECT path, unnest(CAST(json_extract(json, '$.tags.set') AS varchar[])) AS e FROM sidecars) "
     "UNION ALL SELECT path, 'plugin.flags', unnest(CAST(json_extract(json, '$.tags.plugins.flags.tags') AS varchar[])), cast(NULL AS int) FROM sidecars"
 )
+_SPOILED = "CASE length(path) % 5 WHEN 0 THEN substr(json, 1, length(json) - 1) WHEN 1 THEN '{not json' ELSE json END"
+_add(
+    "sidecar_bad",
+    lambda s, d: files.parsed(table(s, d, "sidecars").withColumn("json", F.expr(_SPOILED))).select("path", "bad", F.col("doc").isNull().alias("skipped"), F.col("doc.meta.core.rating").alias("rating")),
+    "SELECT path, length(path) % 5 < 2 AS bad, length(path) % 5 < 2 AS skipped, CASE WHEN length(path) % 5 >= 2 THEN cast(json_extract_string(json, '$.meta.core.rating') AS int) END AS rating FROM sidecars",
+    "sidecars",
+)
+_EXTENDED = """concat('{"created":"2024-02-03T04:05:06Z","file":"2024.jpg","odd":"true [x] \\\\"q\\\\"","own":{"k":[1,2.5,null]},', substr(json, 2))"""
+_add(
+    "sidecar_rewrite",
+    lambda s, d: files.with_lists(table(s, d, "sidecars").withColumn("json", F.expr(_EXTENDED)), table(s, d, "sidecars").select("path", F.lit("user").alias("namespace"), F.array(F.lit("new"), F.col("path")).alias("entries"))).select(
+        "path", *[F.get_json_object("json", f"$.{k}").alias(n) for k, n in (("created", "created"), ("file", "file"), ("odd", "odd"), ("own", "own"), ("meta.core.rating", "rating"), ("tags.user[1]", "second"), ("tags.set[0]", "first_set"))]
+    ),
+    "SELECT path, '2024-02-03T04:05:06Z' AS created, '2024.jpg' AS file, 'true [x] \"q\"' AS odd, '{\"k\":[1,2.5,null]}' AS own, json_extract_string(json, '$.meta.core.rating') AS rating, path AS second, json_extract_string(json, '$.tags.set[0]') AS first_set FROM sidecars",
+    "sidecars",
+)
 _add("sidecar_explode", lambda s, d: files.sidecar_tags(_documents(s, d)), _EXPLODED, "sidecars")
 _add(
     "replace_tags",
@@ -527,8 +543,8 @@ _KM = (
 )
 _add(
     "geocode",
-    lambda s, d: places.geocode(table(s, d, "media").select("path", "gps_lat", "gps_lon"), table(s, d, "gazetteer")).select("path", "cc", "name", F.round("km", 3).alias("km"), F.array_join("tags", ",").alias("tags")),
-    f"WITH n AS (SELECT path, cc, name, admin1, {_KM} AS km FROM media JOIN gazetteer ON gps_lat IS NOT NULL) SELECT path, cc, name, round(km, 3) AS km, cc || ',' || replace(admin1, ' ', '_') || CASE WHEN km <= 25 THEN ',' || replace(name, ' ', '_') ELSE '' END AS tags FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY km, cc, name) AS k FROM n WHERE km <= 100) WHERE k = 1",
+    lambda s, d: places.geocode(table(s, d, "media").select("path", "gps_lat", "gps_lon"), table(s, d, "gazetteer"), table(s, d, "gazetteer").where("cc <> 'FR'").select("cc", F.concat(F.lit("Land of "), "cc").alias("country")).distinct()).select("path", "cc", "name", F.round("km", 3).alias("km"), F.array_join("tags", ",").alias("tags")),
+    f"WITH n AS (SELECT path, cc, name, admin1, {_KM} AS km FROM media JOIN gazetteer ON gps_lat IS NOT NULL) SELECT path, cc, name, round(km, 3) AS km, CASE WHEN cc <> 'FR' THEN 'Land_of_' || cc || ',' ELSE '' END || replace(admin1, ' ', '_') || CASE WHEN km <= 25 THEN ',' || replace(name, ' ', '_') ELSE '' END AS tags FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY km, cc, name) AS k FROM n WHERE km <= 100) WHERE k = 1",
     "media", "gazetteer",
 )
 
@@ -590,7 +606,14 @@ _add(
     "UNION ALL SELECT path, 'plugin.flags', 'n' || (file_size % 7), cast(NULL AS int) FROM a UNION ALL SELECT path, 'plugin.flags', 'm', cast(NULL AS int) FROM a",
     "tags", "media",
 )
-_PROBER = """SELECT path, '{"streams":[{"width":' || coalesce(width, 0) || ',"height":' || coalesce(height, 0) || ',"rotation":' || (file_size % 4) * 90 || '}],"format":{"duration":"' || CASE WHEN file_size % 5 = 0 THEN 'N/A' ELSE cast(file_size % 100 AS string) || '.5' END || '","tags":{"creation_time":"2024-01-02T03:04:05.000000Z","location":"+48.5-002.25/"}}}' AS json FROM {media}"""
+_PROBER = """SELECT path, '{"streams":[{"codec_name":"h264","width":' || coalesce(width, 640) || ',"height":' || coalesce(height, 480)
+ || CASE WHEN file_size % 5 = 1 THEN ',"duration":"' || cast(file_size % 100 AS string) || '.5"' WHEN file_size % 5 = 0 THEN ',"duration":"N/A"' ELSE '' END
+ || CASE WHEN file_size % 4 = 2 THEN ',"tags":{"rotate":"180"}' WHEN file_size % 4 = 3 THEN ',"tags":{"rotate":"0"}' ELSE '' END
+ || CASE WHEN file_size % 4 = 1 THEN ',"side_data_list":[{"side_data_type":"Display Matrix","rotation":-90}]' WHEN file_size % 4 = 3 THEN ',"side_data_list":[{"side_data_type":"other"},{"rotation":"90"}]' ELSE '' END
+ || '}],"format":{"duration":"' || CASE WHEN file_size % 5 = 0 THEN 'N/A' ELSE '99.25' END || '","tags":{"creation_time":"2024-01-02T03:04:05.000000Z"'
+ || CASE WHEN file_size % 2 = 0 THEN ',"com.apple.quicktime.creationdate":"2024-01-02T12:04:05+0900"' ELSE '' END
+ || CASE file_size % 3 WHEN 0 THEN ',"location-eng":"+48.5-002.25/"' WHEN 1 THEN ',"com.apple.quicktime.location.accuracy.horizontal":"12.0","com.apple.quicktime.location.ISO6709":"+48.5-002.25+010/"' ELSE '' END
+ || '}}}' AS json FROM {media}"""
 
 
 def _prober(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -601,8 +624,9 @@ def _prober(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(
     "container_facts",
     _prober,
-    "SELECT path, CASE WHEN file_size % 2 = 1 THEN coalesce(height, 0) ELSE coalesce(width, 0) END AS width, CASE WHEN file_size % 2 = 1 THEN coalesce(width, 0) ELSE coalesce(height, 0) END AS height, "
-    "CASE WHEN file_size % 5 <> 0 THEN (file_size % 100) + 0.5::double END AS duration, 1704164645::bigint AS taken, 48.5::double AS gps_lat, -2.25::double AS gps_lon FROM media WHERE media_type = 'video'",
+    "SELECT path, CASE WHEN file_size % 2 = 1 THEN coalesce(height, 480) ELSE coalesce(width, 640) END AS width, CASE WHEN file_size % 2 = 1 THEN coalesce(width, 640) ELSE coalesce(height, 480) END AS height, "
+    "CASE file_size % 5 WHEN 0 THEN NULL WHEN 1 THEN (file_size % 100) + 0.5::double ELSE 99.25::double END AS duration, CASE WHEN file_size % 2 = 0 THEN 1704197045::bigint ELSE 1704164645::bigint END AS taken, "
+    "CASE WHEN file_size % 3 < 2 THEN 48.5::double END AS gps_lat, CASE WHEN file_size % 3 < 2 THEN -2.25::double END AS gps_lon FROM media WHERE media_type = 'video'",
     "media",
 )
 _add(

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.functions.scalars import file_name, media_type, parent, rfc3339_seconds, set_name, set_position, trash_ms
+from shoebox.functions.scalars import capture_clock, file_name, iso6709, media_type, parent, positive_number, set_name, set_position, shown_size, trash_ms
 
 #: Where sidecars lie beside their files, and the version that is understood.
 SIDECAR_FOLDER, SIDECAR_SUFFIX, SCHEMA_VERSION = ".sidecars", ".json", 1
@@ -52,12 +52,21 @@ def media_of_sidecar(path: Column) -> Column:
     return F.when(match != "", F.concat(F.regexp_extract(path, r"^(.*?)\.sidecars/", 1), F.regexp_extract(path, rf"\.sidecars/([^/]+)\{SIDECAR_SUFFIX}$", 1)))
 
 
-def read_sidecars(spark: SparkSession, root: str, depth: int = 8) -> DataFrame:
-    """(path, json) of the sidecars in folders up to depth below root; the raw text keeps keys that aren't modelled.
+def _depth(spark: SparkSession, root: str) -> int:
+    """How many folders lie below each other in root, or more; only listings are read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system, depth = path(root).getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    while system.globStatus(path(root.rstrip("/") + "/*" * (depth + 1))):
+        depth += 1
+    return depth
+
+
+def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """(path, json) of all sidecars below root; the raw text keeps keys that aren't modelled.
 
     Sidecar folders are hidden ones, which Spark lists only where they are named.
     """
-    levels = ",".join("*/" * k + SIDECAR_FOLDER for k in range(depth + 1))
+    levels = ",".join("*/" * k + SIDECAR_FOLDER for k in range(_depth(spark, root) + 1))
     try:
         found = spark.read.option("wholetext", "true").text(f"{root.rstrip('/')}/{{{levels}}}/*{SIDECAR_SUFFIX}")
     except AnalysisException as e:
@@ -69,11 +78,11 @@ def read_sidecars(spark: SparkSession, root: str, depth: int = 8) -> DataFrame:
 
 
 def parsed(sidecars: DataFrame) -> DataFrame:
-    """(path, doc, bad): documents of (path, json); unreadable or newer ones are marked bad and have no document."""
-    doc = F.from_json("json", SIDECAR)
+    """(path, doc, bad): documents of (path, json); malformed or newer ones are marked bad and have no document."""
+    doc = F.from_json("json", SIDECAR + ", malformed STRING", {"columnNameOfCorruptRecord": "malformed"})
     rows = sidecars.withColumn("doc", doc)
-    bad = F.col("doc").isNull() | (F.coalesce(F.col("doc.schema_version"), F.lit(SCHEMA_VERSION)) > SCHEMA_VERSION)
-    return rows.select("path", F.when(~bad, F.col("doc")).alias("doc"), bad.alias("bad"))
+    bad = F.col("doc").isNull() | F.col("doc.malformed").isNotNull() | (F.coalesce(F.col("doc.schema_version"), F.lit(SCHEMA_VERSION)) > SCHEMA_VERSION)
+    return rows.select("path", F.when(~bad, F.col("doc").dropFields("malformed")).alias("doc"), bad.alias("bad"))
 
 
 def sidecar_tags(documents: DataFrame) -> DataFrame:
@@ -102,17 +111,16 @@ def companions(documents: DataFrame) -> DataFrame:
 def with_lists(sidecars: DataFrame, lists: DataFrame) -> DataFrame:
     """(path, json): sidecars with their user and set lists (path, namespace, entries) replaced and everything else as it was.
 
-    The text is taken as a variant-free map of top-level keys, so unknown keys survive.
+    Values are held as variants, so unknown keys and every type survive. Malformed sidecars stay as they are.
     """
-    top = sidecars.withColumn("top", F.from_json("json", "map<string,string>")).withColumn("inner", F.from_json(F.col("top")["tags"], "map<string,string>"))
-    new = lists.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("namespace", F.to_json("entries")))).alias("new"))
+    kind = "map<string,variant>"
+    top = sidecars.withColumn("top", F.from_json("json", kind))
+    top = top.withColumn("inner", F.coalesce(F.from_json(F.to_json(F.col("top")["tags"]), kind), F.create_map().cast(kind)))
+    new = lists.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("namespace", F.parse_json(F.to_json("entries"))))).alias("new"))
     joined = top.join(new, "path", "left")
-    inner = F.map_concat(F.map_filter(F.coalesce("inner", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(F.col("new"), k)), F.col("new"))
-    as_object = lambda m: F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(F.to_json(F.struct(e["key"].alias("k"))).substr(F.lit(6), F.length(e["key"]) + 2), F.lit(":"), e["value"])), ","), F.lit("}"))
-    quoted = lambda m: F.transform_values(m, lambda k, v: F.when(v.rlike(r'^\s*([\[{]|-?[0-9]|true$|false$|null$)'), v).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2)))
-    rest = F.map_filter("top", lambda k, v: k != "tags")
-    done = F.map_concat(quoted(rest), F.create_map(F.lit("tags"), as_object(inner)))
-    return joined.select("path", F.when(F.col("new").isNull(), F.col("json")).otherwise(as_object(done)).alias("json"))
+    inner = F.map_concat(F.map_filter("inner", lambda k, v: ~F.map_contains_key(F.col("new"), k)), F.col("new"))
+    done = F.map_concat(F.map_filter("top", lambda k, v: k != "tags"), F.create_map(F.lit("tags"), F.parse_json(F.to_json(inner))))
+    return joined.select("path", F.when(F.col("new").isNull() | F.col("top").isNull(), F.col("json")).otherwise(F.to_json(done)).alias("json"))
 
 
 def write_sidecars(sidecars: DataFrame, folder: str) -> None:
@@ -136,12 +144,25 @@ def load_settings(text: str | None) -> dict:
         return dict(SETTINGS)
 
 
-def container_facts(prober: DataFrame) -> DataFrame:
-    """Facts (path, width, height, duration, taken) from a prober's JSON (path, json): shown size, seconds, capture time."""
-    doc = F.from_json("json", "streams ARRAY<STRUCT<width: INT, height: INT, rotation: DOUBLE>>, format STRUCT<duration: STRING, tags: MAP<STRING, STRING>>")
-    from shoebox.functions.scalars import iso6709, positive_number, shown_size
+_CONTAINER = """streams ARRAY<STRUCT<width: INT, height: INT, duration: STRING, tags: MAP<STRING, STRING>, side_data_list: ARRAY<STRUCT<rotation: STRING>>>>,
+ format STRUCT<duration: STRING, tags: MAP<STRING, STRING>>"""
+
 
-    rows = prober.withColumn("d", doc).withColumn("s", F.get("d.streams", F.lit(0)))
-    size = shown_size(F.col("s.width"), F.col("s.height"), F.coalesce("s.rotation", F.lit(0.0)))
-    place = iso6709(F.element_at("d.format.tags", F.lit("location")))
-    return rows.select("path", size["width"].alias("width"), size["height"].alias("height"), positive_number(F.col("d.format.duration")).alias("duration"), rfc3339_seconds(F.element_at("d.format.tags", F.lit("creation_time"))).alias("taken"), place["lat"].alias("gps_lat"), place["lon"].alias("gps_lon"))
+def container_facts(prober: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Facts (path, width, height, duration, taken, gps_lat, gps_lon) from a prober's JSON (path, json), of documents with a first stream that has a size.
+
+    The turn is the first of the stream's side data, else its tag; the duration the stream's,
+    else the container's; the place the first in order of keys that name a location and hold one.
+    """
+    rows = prober.withColumn("d", F.from_json("json", _CONTAINER)).withColumn("s", F.get("d.streams", F.lit(0))).filter("s.width > 0 AND s.height > 0")
+    number = lambda c: F.trim(c).try_cast("double")
+    turns = F.filter(F.transform(F.coalesce("s.side_data_list", F.array().cast("array<struct<rotation:string>>")), lambda x: number(x["rotation"])), lambda x: x.isNotNull())
+    size = shown_size(F.col("s.width"), F.col("s.height"), F.coalesce(F.get(turns, F.lit(0)), number(F.element_at("s.tags", F.lit("rotate"))), F.lit(0.0)))
+    tags = F.coalesce("d.format.tags", F.create_map().cast("map<string,string>"))
+    named = F.array_sort(F.map_entries(F.map_filter(tags, lambda k, v: F.lower(k).contains("location"))))
+    place = F.get(F.filter(F.transform(named, lambda e: iso6709(e["value"])), lambda x: x.isNotNull()), F.lit(0))
+    taken = capture_clock(F.element_at(tags, F.lit("com.apple.quicktime.creationdate")), F.element_at(tags, F.lit("creation_time")), zone)
+    return rows.select(
+        "path", size["width"].alias("width"), size["height"].alias("height"), F.coalesce(positive_number(F.col("s.duration")), positive_number(F.col("d.format.duration"))).alias("duration"),
+        taken.alias("taken"), place["lat"].alias("gps_lat"), place["lon"].alias("gps_lon"),
+    )

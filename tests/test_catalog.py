@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoebox import fixtures
+from shoebox.catalog import Catalog
 from shoebox.operators import answers, duplicates, filtering, layout, maintenance, tagging, views, vocabulary
 from shoebox.plans import registry
 from shoebox.sources import files
@@ -16,7 +17,7 @@ DIR = "/root/testdata/sf0.001"
 #: One or two queries of each family; the driver compares all of them.
 SOME = [
     "filter_bool_mix", "filter_nested_not", "filter_not_rating_3vl", "filter_not_width_3vl", "filter_tag_not", "items_set_view", "items_subsort", "items_flagship",
-    "group_month", "group_size_range", "scroll_markers_size", "scroll_markers_rating", "suggest_subsequence", "scan_upsert", "mirror_companion", "sidecar_explode",
+    "group_month", "group_size_range", "scroll_markers_size", "scroll_markers_rating", "suggest_subsequence", "scan_upsert", "mirror_companion", "sidecar_explode", "sidecar_bad", "sidecar_rewrite", "container_facts", "iso6709", "safe_name",
     "tag_rename", "order_set", "tier_evict", "cold_gallery_evict", "dup_groups", "dup_merge_tags", "answer_merge", "geocode", "fs_last_wins", "set_entry", "difference_hash", "capture_clock",
 ]
 
@@ -154,6 +155,25 @@ def test_sidecars_on_disk(spark, tmp_path):
     assert after["tags"] == doc["tags"] | {"user": ["sea \"x\""]}
 
 
+def test_malformed_sidecars_change_nothing(spark, tmp_path):
+    deep = tmp_path / "/".join(f"d{k}" for k in range(12)) / ".sidecars"
+    deep.mkdir(parents=True)
+    (deep / "a.jpg.json").write_text("{not json")
+    (deep / "b.jpg.json").write_text(json.dumps({"created": "2024-02-03T04:05:06Z", "file": "2024.jpg", "x": "true", "y": "[1", "z": 'say "hi"', "meta": {"core": {"rating": 2}}, "tags": {"user": ["new"], "own": 1}}))
+    name = "/".join(f"d{k}" for k in range(12))
+    raw = files.read_sidecars(spark, str(tmp_path))
+    documents = files.parsed(raw)
+    assert {r["path"]: r["bad"] for r in documents.collect()} == {f"{name}/a.jpg": True, f"{name}/b.jpg": False}
+    media = spark.createDataFrame([(f"{name}/{x}.jpg", 5, "red", None, None, None, None, None, None) for x in "ab"], "path string, rating int, color_label string, last_rated long, date_added long, last_viewed long, gps_lat double, gps_lon double, mtime long")
+    tags = spark.createDataFrame([(f"{name}/{x}.jpg", "user", "old", None) for x in "ab"], "path string, namespace string, tag string, position int")
+    after = Catalog(media=media, tags=tags).indexed(documents)
+    assert {(r["path"][-5], r["rating"], r["color_label"]) for r in after.media.collect()} == {("a", 5, "red"), ("b", 2, None)}
+    assert {(r["path"][-5], r["tag"]) for r in after.tags.collect()} == {("a", "old"), ("b", "new")}
+    lists = spark.createDataFrame([(f"{name}/{x}.jpg", "set", ["s::1"]) for x in "ab"], "path string, namespace string, entries array<string>")
+    texts = {r["path"][-5]: r["json"] for r in files.with_lists(raw, lists).collect()}
+    assert texts["a"] == "{not json" and json.loads(texts["b"]) == json.loads((deep / "b.jpg.json").read_text()) | {"tags": {"user": ["new"], "own": 1, "set": ["s::1"]}}
+
+
 def test_trash_and_settings(spark):
     rows = spark.createDataFrame([("1000_1/a/b.jpg", 5), ("2000_1/c.jpg", 6), ("x_1/d.jpg", 7)], "path string, size long")
     found = files.trash_entries(rows)
