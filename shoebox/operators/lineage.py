@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the session's folder, or in one of our own where none is set."""
+    """df from a checkpoint in the session's folder, or in one of our own where none is set and all runs on one machine."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shoebox-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shoebox-"))
     return df.checkpoint()

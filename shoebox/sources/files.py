@@ -94,9 +94,12 @@ def sidecar_tags(documents: DataFrame) -> DataFrame:
     sets = F.transform(F.coalesce("doc.tags.set", none), lambda t: row(F.lit("set"), set_name(t), set_position(t)))
     buckets = F.map_entries(F.coalesce("doc.tags.plugins", F.create_map().cast("map<string,struct<version:string,tags:array<string>>>")))
     plugins = F.flatten(F.transform(buckets, lambda b: F.transform(F.coalesce(b["value"]["tags"], none), lambda t: row(F.concat(F.lit("plugin."), b["key"]), t, null))))
-    rows = documents.filter("doc is not null").select("path", F.posexplode(F.concat(user, sets, plugins)).alias("ord", "t"))
-    first = rows.groupBy("path", "t.namespace", "t.tag").agg(F.min_by("t.position", "ord").alias("position"))
-    return first.select("path", "namespace", "tag", "position")
+    # all rows of a key come from one document, so nothing is shuffled
+    rows = documents.filter("doc is not null").select("path", F.concat(user, sets, plugins).alias("all"))
+    key = lambda t: F.struct(t["namespace"].alias("namespace"), t["tag"].alias("tag"))
+    rows = rows.withColumn("keys", F.transform("all", key))
+    first = F.filter("all", lambda t, k: F.array_position(F.col("keys"), key(t)) == k + 1)
+    return rows.select("path", F.explode(first).alias("t")).select("path", "t.namespace", "t.tag", "t.position")
 
 
 def companions(documents: DataFrame) -> DataFrame:
