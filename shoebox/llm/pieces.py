@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -36,6 +37,8 @@ KNOWN_STEPS = 600_000
 #: What an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 MARK = "▁"
+#: Whether array("i") has the bytes that ids are stored as.
+LITTLE = sys.byteorder == "little" and array("i").itemsize == 4
 #: A word with the run of marks before it, a run of marks, a line feed: no piece crosses their borders.
 UNIT = re.compile(r" *[^ \n]+| +|\n")
 
@@ -149,19 +152,22 @@ class Vocabulary:
     def _merge_step(self, c: str, at: int, on: list, best: array, start: array, piece: array) -> list:
         """The one piece that ends the prefix after one more character, among those that have begun: the step to it is open."""
         origin, kind, ahead, known = at, -1, [], self.open
-        for begun, node in (*on, (at, self.trie)):
+        for begun, node in on:
             further = node.get(c)
             if further is not None:
                 ahead.append((begun, further))
-                if kind < 0 and "" in further:
-                    now = further[""][1]
-                    pair = piece[begun] << 32 | now
+                if kind < 0 and (end := further.get("")) is not None:
+                    pair = piece[begun] << 32 | end[1]
                     may = known.get(pair)
                     if may is None:
-                        may = known[pair] = self._may_follow(piece[begun], now)
+                        may = known[pair] = self._may_follow(piece[begun], end[1])
                     if may:
-                        origin, kind = begun, now
-        best.append(0.0)
+                        origin, kind = begun, end[1]
+        alone = self.trie.get(c)
+        if alone is not None:
+            ahead.append((at, alone))
+            if kind < 0 and (end := alone.get("")) is not None:  # where no longer piece ends it
+                kind = end[1]
         start.append(origin)
         piece.append(kind)
         return ahead
@@ -170,7 +176,22 @@ class Vocabulary:
         """Whether merging the text of the two pieces gives just them; -1 stands for a unit's beginning or an unknown character."""
         if before < 0:
             return self.merged(self.spelled[now].decode()) == [now]
-        return self.merged((self.spelled[before] + self.spelled[now]).decode()) == [before, now]
+        parts, score = list(self.spelled[before].decode()), self.pieces.get
+        border = len(parts)  # the second piece's first part
+        parts += self.spelled[now].decode()
+        pairs = [score(x + y) for x, y in zip(parts, parts[1:])]
+        while found := [(s[0], -k) for k, s in enumerate(pairs) if s]:
+            k = -max(found)[1]
+            if k == border - 1:
+                return False
+            border -= k < border
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = score(parts[k - 1] + parts[k])
+            if k < len(pairs):
+                pairs[k] = score(parts[k] + parts[k + 1])
+        return len(parts) == 2
 
     def merged(self, text: str) -> list[int]:
         """The pieces that merging a text of known characters gives: the best-scoring neighbours first, of equal ones the leftmost."""
@@ -190,7 +211,8 @@ class Vocabulary:
             else:
                 ids += [self.byte[b] for b in reversed(unit[start[at] : at].encode("utf-8", "surrogateescape"))]
             at = start[at]
-        return np.array(ids[::-1], "<i4").tobytes()
+        ids.reverse()
+        return array("i", ids).tobytes() if LITTLE else np.array(ids, "<i4").tobytes()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The text's bytes; the mark before the first word goes."""
