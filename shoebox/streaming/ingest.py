@@ -122,6 +122,15 @@ def client_step(event: str, changed: int, filtered: bool) -> str:
 
 
 def lost(requests: DataFrame, results: int = 128) -> DataFrame:
-    """Requests (id, matched_at, answered) that are given up: unanswered while so many later results came, counted by matched_at."""
-    after = Window.orderBy("matched_at").rowsBetween(1, Window.unboundedFollowing)
-    return requests.withColumn("later", F.sum(F.col("answered").cast("int")).over(after)).filter(~F.col("answered") & (F.coalesce("later", F.lit(0)) >= results)).drop("later")
+    """Requests (id, matched_at, answered) that are given up: unanswered while so many later results came, counted by matched_at.
+
+    So many came if the results-th latest did, which a top list finds; results of the same
+    moment aren't later. Requests without a moment come before all others.
+    """
+    waiting = requests.filter(~F.col("answered"))
+    if results <= 0:
+        return waiting
+    latest = requests.filter("answered").select(F.col("matched_at").alias("__at")).orderBy(F.col("__at").desc_nulls_last()).limit(results)
+    bound = latest.agg(F.when(F.count("__at") == results, F.min("__at")).alias("__bound"))
+    known = waiting.crossJoin(F.broadcast(bound))  # a single row
+    return known.filter(F.col("__bound").isNotNull() & (F.col("matched_at").isNull() | (F.col("matched_at") < F.col("__bound")))).drop("__bound")

@@ -213,6 +213,18 @@ def test_streamed_bursts_equal_the_batch(spark, tmp_path):
     assert sorted((r["target"], r["action"]) for r in got) == sorted((r["target"], r["action"]) for r in wanted)
 
 
+def test_lost_requests_by_a_top_list(spark):
+    rows = [(k, None if k == 3 else (k * 7) % 50 // 2, k % 3 != 0) for k in range(50)] + [(50, 30, None)]
+    table = spark.createDataFrame(rows, "id long, matched_at long, answered boolean")
+    moment = lambda at: -1 if at is None else at
+    for results in (0, 1, 5, 33, 34, 100):
+        wanted = [i for i, at, a in rows if a is False and sum(bool(b) and moment(other) > moment(at) for _, other, b in rows) >= results]
+        assert sorted(r["id"] for r in ingest.lost(table, results).collect()) == wanted
+    assert ingest.lost(table.limit(0)).count() == 0
+    # a frame to the end of the table is summed anew for each row
+    assert "Window" not in ingest.lost(table)._jdf.queryExecution().toString()
+
+
 def test_client_decisions():
     assert ingest.client_step("changed", 12, False) == "patch" and ingest.client_step("changed", 13, False) == "refetch"
     assert ingest.client_step("tags", 1, False) == "nothing" and ingest.client_step("removed", 99, True) == "splice"
