@@ -675,7 +675,7 @@ _KINDS = (
 _BURSTS = _KINDS + ", b AS (SELECT *, sum(opens) OVER (ORDER BY ts, seq) AS burst FROM (SELECT *, CASE WHEN lag(ts) OVER (ORDER BY ts, seq) IS NULL OR ts - lag(ts) OVER (ORDER BY ts, seq) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS opens FROM k)) "
 _classified = lambda s, d: ingest.classify(table(s, d, "fs_events"))
 _add("fs_classify", lambda s, d: _classified(s, d).select("seq", "action", "target"), _KINDS + "SELECT seq, action, target FROM k", "fs_events")
-_add("debounce_sessions", lambda s, d: ingest.bursts(_classified(s, d), "30 minutes").select(F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.size("changes").alias("n")), _BURSTS + "SELECT epoch_us(min(ts)) AS start_us, cast(count(DISTINCT (target, action = 'sidecar')) AS int) AS n FROM b GROUP BY burst", "fs_events")
+_add("debounce_sessions", lambda s, d: ingest.burst_changes(_classified(s, d), 1800.0).groupBy("burst").agg(F.min("since").alias("start"), F.count("*").cast("int").alias("n")).select(F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "n"), _BURSTS + "SELECT epoch_us(min(ts)) AS start_us, cast(count(DISTINCT (target, action = 'sidecar')) AS int) AS n FROM b GROUP BY burst", "fs_events")
 _add("fs_last_wins", lambda s, d: ingest.burst_changes(_classified(s, d), 1800.0).select(F.col("burst").cast("bigint"), "target", "action"), _BURSTS + "SELECT cast(burst AS bigint) AS burst, target, arg_max(action, (ts, seq)) AS action FROM b GROUP BY burst, target, action = 'sidecar'", "fs_events")
 _add(
     "progress_throttle",

@@ -50,15 +50,17 @@ def bursts(events: DataFrame, quiet: str = QUIET) -> DataFrame:
 
 
 def _last_of_each(events: Column) -> Column:
-    ordered = F.array_sort(events)
-    slot = lambda e: F.struct(e["target"].alias("target"), (e["action"] == "sidecar").alias("beside"))
-    slots = F.array_distinct(F.transform(ordered, slot))
-    last = lambda s: F.element_at(F.filter(ordered, lambda e: (e["target"] == s["target"]) & ((e["action"] == "sidecar") == s["beside"])), -1)
-    return F.array_sort(F.transform(slots, lambda s: F.struct(s["target"].alias("target"), last(s)["action"].alias("action"))))
+    """The last event of each file and kind of file: in their order the one before another file's."""
+    ordered = F.array_sort(F.transform(events, lambda e: F.struct(e["target"].alias("target"), (e["action"] == "sidecar").alias("beside"), e["ts"].alias("ts"), e["seq"].alias("seq"), e["action"].alias("action"))))
+    beside_next = F.arrays_zip(ordered.alias("e"), F.slice(ordered, 2, F.size(events)).alias("next"))
+    last = F.filter(beside_next, lambda x: x["next"].isNull() | (x["e"]["target"] != x["next"]["target"]) | (x["e"]["beside"] != x["next"]["beside"]))
+    return F.array_sort(F.transform(last, lambda x: F.struct(x["e"]["target"].alias("target"), x["e"]["action"].alias("action"))))
 
 
 def burst_changes(events: DataFrame, quiet_seconds: float = 0.5) -> DataFrame:
-    """(burst, start, target, action) of a bounded log of classified events: what bursts() gives, without gathering a burst.
+    """(burst, target, action, since) of a bounded log of classified events: what bursts() gives, without gathering a burst.
+
+    since is the file's first event in the burst, so a burst starts at the least of them.
 
     Bursts are found from each event's predecessor in time. Days overlap by their first event
     alone, so the log is dealt by day and only one number for each day is summed in order.
@@ -76,7 +78,7 @@ def burst_changes(events: DataFrame, quiet_seconds: float = 0.5) -> DataFrame:
     before = days.select("day", F.coalesce(F.sum("k").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     numbered = inside.join(F.broadcast(before), "day").withColumn("burst", F.col("n") + F.col("before"))
     beside = F.col("action") == "sidecar"
-    return numbered.groupBy("burst", "target", beside.alias("beside")).agg(F.max_by("action", F.struct("ts", "seq")).alias("action")).select("burst", "target", "action")
+    return numbered.groupBy("burst", "target", beside.alias("beside")).agg(F.max_by("action", F.struct("ts", "seq")).alias("action"), F.min("ts").alias("since")).select("burst", "target", "action", "since")
 
 
 def ingest(stream: DataFrame, flush: Callable[[DataFrame, int], None], checkpoint: str, quiet: str = QUIET, late: str = QUIET):

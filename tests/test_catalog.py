@@ -1,6 +1,7 @@
 import json
 import math
 import sys
+import time
 
 import duckdb
 import pytest
@@ -213,6 +214,22 @@ def test_streamed_bursts_equal_the_batch(spark, tmp_path):
     assert sorted((r["target"], r["action"]) for r in got) == sorted((r["target"], r["action"]) for r in wanted)
 
 
+def test_a_long_burst(spark):
+    log = spark.range(40_000).selectExpr("id AS seq", "timestamp_micros(1700000000000000 + id * 1000) AS ts", "'a/' || (id * 7919 % 9000) || '.jpg' AS target", "CASE id % 11 WHEN 0 THEN 'sidecar' WHEN 1 THEN 'remove' ELSE 'add' END AS action")
+    start = time.monotonic()
+    found = ingest.bursts(log).select("start", "changes").collect()
+    assert time.monotonic() - start < 60
+    last = {}
+    for r in log.orderBy("ts", "seq").collect():
+        last[r["target"], r["action"] == "sidecar"] = r["action"]
+    wanted = sorted((t, a) for (t, _), a in last.items())
+    assert len(found) == 1 and [(c["target"], c["action"]) for c in found[0]["changes"]] == wanted
+    batch = ingest.burst_changes(log).collect()
+    assert sorted((r["target"], r["action"]) for r in batch) == wanted and min(r["since"] for r in batch) == found[0]["start"]
+    plan = registry.queries()["debounce_sessions"](spark, DIR)._jdf.queryExecution().toString()
+    assert "SessionWindow" not in plan and "collect_list" not in plan
+
+
 def test_lost_requests_by_a_top_list(spark):
     rows = [(k, None if k == 3 else (k * 7) % 50 // 2, k % 3 != 0) for k in range(50)] + [(50, 30, None)]
     table = spark.createDataFrame(rows, "id long, matched_at long, answered boolean")
