@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm.common import bounded_batches, text_bytes, text_or_empty, unit_interval
-from shoebox.llm.sharding import step_search, literals
+from shoebox.llm.sharding import literals, steps_where
 
 #: Two primes below 2^31, so that products stay in 64 bits, and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -206,9 +206,12 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text, number = F.col(text_col).cast("string"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1 << 63).cast("bigint"))
     bounds, least = _bounds(df.select(number.alias("id"), F.xxhash64(text_or_empty(text_col)).alias("tie")))
     rows = df.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text"), F.struct(number.alias("id"), F.xxhash64(text_or_empty(text_col)).alias("tie")).alias("key"))
-    known = F.arrays_zip(literals([x for x, _ in bounds], "bigint").alias("id"), literals([y for _, y in bounds], "bigint").alias("tie")) if bounds else None
-    target = step_search(known, len(bounds), F.col("key")) if bounds else F.lit(0)
-    begins = F.get(known, F.col("target") - 1) == F.col("key") if bounds else F.lit(False)
+    # two literals: a zipped array would be built anew at every step of every row's search
+    ids, ties = (literals([b[k] for b in bounds], "bigint") for k in (0, 1))
+    own_id, own_tie = F.col("key.id"), F.col("key.tie")
+    upto = lambda k: (F.get(ids, k) < own_id) | ((F.get(ids, k) == own_id) & (F.get(ties, k) <= own_tie))
+    target = steps_where(upto, len(bounds)) if bounds else F.lit(0)
+    begins = (F.get(ids, F.col("target") - 1) == own_id) & (F.get(ties, F.col("target") - 1) == own_tie) if bounds else F.lit(False)
     first = F.lit(False) if least is None else F.col("key") == F.struct(*[F.lit(x).cast("bigint").alias(c) for x, c in zip(least, ("id", "tie"))])
     places = F.array(
         F.struct(F.col("target").alias("target"), F.lit(0).alias("ahead")),

@@ -12,6 +12,7 @@ at most one group of them; a group too large for its range is subdivided by doc_
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +24,16 @@ from shoebox.llm.common import durable, text_or_empty, unit_interval
 RANGES_PER_SHARD, KEYS_PER_RANGE, MOST_RANGES, ROWS_PER_RANGE = 128, 8, 16384, 100_000
 
 
-def step_search(known: Column, bounds: int, key: Column) -> Column:
-    """How many of the sorted bounds in an array literal are at most key, in log2 steps."""
+def steps_where(upto: Callable[[Column], Column], bounds: int) -> Column:
+    """How many of the sorted bounds are at most the row's key, which upto tells by number, null beyond the last; in log2 steps."""
     levels = max(1, math.ceil(math.log2(bounds + 1)))
     steps = F.array(*[F.lit(1 << k) for k in range(levels - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) <= key, at + step).otherwise(at))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(upto(at + step - 1), at + step).otherwise(at))
+
+
+def step_search(known: Column, bounds: int, key: Column) -> Column:
+    """How many of the sorted bounds in an array literal are at most key."""
+    return steps_where(lambda k: F.get(known, k) <= key, bounds)
 
 
 def literals(values: list, kind: str) -> Column:

@@ -399,6 +399,30 @@ def test_fingerprints(spark, docs, monkeypatch):
     assert {r["edited_sha256"] for r in without} == {hashlib.sha256(t.encode()).hexdigest() for t in edited}
 
 
+def test_ranges_are_searched_in_literals(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 2)
+    ids = [k // 3 if k % 5 else None for k in range(600)]
+    df = spark.createDataFrame([(i, f"text {k % 40}") for k, i in enumerate(ids)], "doc_id long, text string")
+    dealt = fingerprints.with_next(df)
+    # arrays zipped for each step and row cost time with the square of the rows
+    assert "arrays_zip" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+    rows = dealt.where("ahead = 0").collect()
+    last = {}
+    for r in sorted(rows, key=lambda r: (r["id"] is not None, r["id"] or 0)):
+        assert last.setdefault("target", 0) <= r["target"]
+        last["target"] = r["target"] if r["id"] != last.get("id", -1) else max(last["target"], r["target"])
+        last["id"] = r["id"]
+    assert len(rows) == 600 and len({r["target"] for r in rows}) > 50
+    following = {r["target"]: r["id"] for r in dealt.where("ahead = 1").collect()}
+    first = {}
+    for r in rows:
+        first[r["target"]] = min(first.get(r["target"], 1 << 62), -1 if r["id"] is None else r["id"])
+    targets = sorted(first)
+    assert all((-1 if following[a] is None else following[a]) == first[b] for a, b in zip(targets, targets[1:]) if b == a + 1)
+    found = spark.range(50).select(sharding.step_search(sharding.literals([3, 3, 7, 40], "bigint"), 4, common.F.col("id")).alias("n")).collect()
+    assert [r["n"] for r in found] == [sum(x <= k for x in (3, 3, 7, 40)) for k in range(50)]
+
+
 # language model
 
 
