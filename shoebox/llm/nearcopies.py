@@ -93,11 +93,11 @@ def _frequent(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in found.select("key").collect()], np.int64).view(np.uint64))
 
 
-_INDEX = "key bigint, node bigint, size int, at int"
+_INDEX = "key bigint, node bigint, size int, at int, ahead bigint"
 
 
 def _index(rows: DataFrame) -> DataFrame:
-    """(key, node, size, at): the shingles in each text's prefix, with the set's size and the place in it."""
+    """(key, node, size, at, ahead): the shingles in each text's prefix, with the set's size, the place in it and the shingle before that."""
     shared = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +112,9 @@ def _index(rows: DataFrame) -> DataFrame:
             at = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
             n = sizes[of]
             used = at <= n - (4 * n + 4) // 5
+            ahead = np.where(at > 0, np.roll(hashes, 1), np.uint64(0)).view(np.int64)
             of, n = of[used], n[used]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[used].view(np.int64)), pa.array(nodes[of]), pa.array(n.astype(np.int32)), pa.array(at[used].astype(np.int32))], names=["key", "node", "size", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[used].view(np.int64)), pa.array(nodes[of]), pa.array(n.astype(np.int32)), pa.array(at[used].astype(np.int32)), pa.array(ahead[used])], names=["key", "node", "size", "at", "ahead"])
 
     return rows.select("node", "text").mapInArrow(made, _INDEX)
 
@@ -134,29 +135,33 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of two nodes or more, without repeated rows, each row beside one of the group: the same in many groups of the same nodes, but not in all."""
-    for key, node, size, at in _whole_groups(batches):
+    for key, node, size, at, ahead in _whole_groups(batches):
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, size, at = key[fresh], node[fresh], size[fresh], at[fresh]
+        key, node, size, at, ahead = key[fresh], node[fresh], size[fresh], at[fresh], ahead[fresh]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         many = np.diff(np.concatenate([edge, [len(key)]]))
         group = np.repeat(np.arange(len(edge)), many)
         lot = _mixed(node.view(np.uint64) + _MIX * (key.view(np.uint64) % np.uint64(PIVOTS)))
         order = np.lexsort((lot, group))
         first, used = order[edge][group], many[group] > 1
-        columns = (key, node, size, at, node[first], size[first], at[first])
-        yield pa.RecordBatch.from_arrays([pa.array(c[used]) for c in columns], names=["key", "node", "size", "at", "first", "first_size", "first_at"])
+        columns = (key, node, size, at, ahead, node[first], size[first], at[first])
+        yield pa.RecordBatch.from_arrays([pa.array(c[used]) for c in columns], names=["key", "node", "size", "at", "ahead", "first", "first_size", "first_at"])
 
 
 def _may(n, i, m, j) -> np.ndarray:
-    """Whether sets of n and m that share what lies at i and j can be similar enough."""
+    """Whether sets of n and m whose first common shingle lies at i and j can be similar enough."""
     n, i, m, j = (np.asarray(x, np.int64) for x in (n, i, m, j))
-    return 9 * (np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1) >= 4 * (n + m)
+    return 9 * np.minimum(n - i, m - j) >= 4 * (n + m)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group that are in different components and can be similar enough."""
-    for key, node, size, at, part, fp, small in _whole_groups(batches):
+    """Pairs of a group that are in different components and can be similar enough.
+
+    A similar pair meets under its first common shingle at the latest, where the shingles
+    ahead differ; a pair with the same one ahead has met under that, and is left out here.
+    """
+    for key, node, size, at, ahead, part, fp, small in _whole_groups(batches):
         small = np.frombuffer(b"".join(small), np.uint64).reshape(-1, SMALL // 64)
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         a, b, held = [], [], 0
@@ -164,6 +169,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(lo, hi - 1):
                 rest = slice(k + 1, hi)
                 hit = (part[rest] != part[k]) & _may(size[rest], at[rest], size[k], at[k])
+                if at[k]:
+                    hit &= (ahead[rest] != ahead[k]) | (at[rest] == 0)
                 hit &= (np.minimum(size[rest], size[k]) < MANY) | (np.bitwise_count((fp[rest] ^ fp[k]).view(np.uint64)) <= MOST_BITS)
                 near = k + 1 + np.flatnonzero(hit)
                 near = near[9 * np.bitwise_count(small[near] ^ small[k]).sum(axis=1, dtype=np.int64) <= size[near].astype(np.int64) + size[k]]
@@ -255,10 +262,10 @@ def linked(rows: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFram
     sketches = known.select("node", "size", "sketch").dropDuplicates(["node"])
     found = _verified(rows, sketches, tried)
     parts = components(found)
-    named = groups.select("key", "node", "size", "at").join(parts, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("part"))
+    named = groups.select("key", "node", "size", "at", "ahead").join(parts, "node", "left").select("key", "node", "size", "at", "ahead", F.coalesce("root", "node").alias("part"))
     open_keys = named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
     fps = known.select("node", "fp", "small").dropDuplicates(["node"])
-    named = named.join(open_keys, "key", "left_semi").join(fps, "node").select("key", "node", "size", "at", "part", "fp", "small").repartition(F.col("key")).sortWithinPartitions("key")
+    named = named.join(open_keys, "key", "left_semi").join(fps, "node").select("key", "node", "size", "at", "ahead", "part", "fp", "small").repartition(F.col("key")).sortWithinPartitions("key")
     rest = durable(named.mapInArrow(_across, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti"), "near-rest")
     if rest.take(1):
         found = durable(found.union(_verified(rows, sketches, rest)), "near-all")

@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -85,3 +86,30 @@ def test_null_ids_repeated_rows_and_clashing_names(spark):
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in simhash.one_of_each(df).collect())
     least = min((text, text + " more"), key=lambda t: spark.range(1).selectExpr(f"xxhash64('{t}') as h").first()["h"])
     assert got == [(False, 3, ""), (False, 7, least), (True, 0, "alone here")]
+
+
+def _pairs_by_key(sets):
+    """What _across gives under each shingle of the sets' prefixes, every set being a component of its own."""
+    rows = {}
+    for node, one in enumerate(sets):
+        n = len(one)
+        for at, key in enumerate(one[: n - (4 * n + 4) // 5 + 1]):
+            rows.setdefault(key, []).append((key, node, n, at, one[at - 1] if at else 0, node, 0, nearcopies.sketch(np.array(one, np.uint64), nearcopies.SMALL)))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    out = []
+    for key in sorted(rows):
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[key]), kinds)], names=list("knsahpfm"))
+        out += [(a, b) for got in nearcopies._across(iter([batch])) for a, b in zip(got.column(0).to_pylist(), got.column(1).to_pylist())]
+    return out
+
+
+def test_a_pair_meets_under_its_first_common_shingle():
+    assert _pairs_by_key([list(range(1, 101)), list(range(1, 101)) + [500]]) == [(0, 1)]
+    draw, sets = random.Random(8), []
+    for _ in range(40):
+        base = draw.sample(range(1, 5000), draw.randint(1, 30))
+        for _ in range(5):
+            other = set(base) ^ set(draw.sample(base, draw.randint(0, len(base) // 6))) | set(draw.sample(range(1, 5000), draw.randint(0, len(base) // 6)))
+            sets.append(sorted(other))
+    similar = {(i, j) for (i, x), (j, y) in combinations(enumerate(map(set, sets)), 2) if 5 * len(x & y) >= 4 * len(x | y)}
+    assert len(similar) > 100 and similar <= set(_pairs_by_key(sets))
